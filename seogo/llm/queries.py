@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import read_table
+from .leakage import found_leaks, leaked_spans
 from .lookalike import canonical_texts, found_lookalikes
 from .split import found_oversized, split_items
 
@@ -27,7 +28,15 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_texts(chunks).select("chunk_id", "canonical").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p9_found": p9_found, "p9_spans": p9_spans}
 
 # Boundaries are line feeds and spaces after sentence marks; an item is forced if one of the
 # stretches between them is longer than the limit.
