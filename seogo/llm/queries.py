@@ -8,6 +8,7 @@ from ..runtime import read_table
 from .leakage import found_leaks, leaked_spans
 from .lookalike import canonical_texts, found_lookalikes
 from .split import found_oversized, split_items
+from .stuffing import found_junk, page_scores
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,15 @@ def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p9_found": p9_found, "p9_spans": p9_spans}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_junk(read_table(spark, sf_dir, "documents"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_scores(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
 
 # Boundaries are line feeds and spaces after sentence marks; an item is forced if one of the
 # stretches between them is longer than the limit.
