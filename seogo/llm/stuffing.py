@@ -180,20 +180,10 @@ def _model(counts: list[tuple[str, int]]) -> np.ndarray:
     return np.log((tri + 4 * bi[None]) / (tri.sum(2, keepdims=True) + 4))
 
 
-def _worse_half(surprise: np.ndarray, ends: np.ndarray) -> float:
-    """Mean surprise of the lines that surprise most and together make up half of the classes."""
-    starts = np.append(0, ends[:-1] + 1)
-    sums, sizes = np.add.reduceat(surprise, starts), ends + 1 - starts
-    order = np.argsort(-sums / sizes, kind="stable")
-    upto = int(np.searchsorted(np.cumsum(sizes[order]), len(surprise) / 2)) + 1
-    return float(sums[order[:upto]].sum() / sizes[order[:upto]].sum())
-
-
 def page_scores(documents: DataFrame) -> DataFrame:
     """(doc_id, log_perplexity, junk_words, words) of every distinct page.
 
-    ``log_perplexity`` is the mean negative log probability of a class under the prose model, over
-    the half of the page that fits it worst (whole lines). Null
+    ``log_perplexity`` is the mean negative log probability of a class under the prose model. Null
     and empty texts have no words and a null score. Rows that come twice are scored twice; extra
     columns are ignored. Texts of any length are read whole.
     """
@@ -203,8 +193,7 @@ def page_scores(documents: DataFrame) -> DataFrame:
     table = _model([(r.gram, r.n) for r in counts.collect()])  # at most len(ALPHABET) ** 3 rows
 
     def make():  # noqa: ANN202
-        line_end = _CODE["/"]
-        lookup = np.full(128, line_end, np.int64)
+        lookup = np.full(128, _CODE["/"], np.int64)
         for c, v in _CODE.items():
             lookup[ord(c)] = v
 
@@ -212,7 +201,7 @@ def page_scores(documents: DataFrame) -> DataFrame:
             scores = []
             for s in sequences:
                 x = lookup[np.frombuffer(("//" + s).encode("ascii"), np.uint8)]
-                scores.append(_worse_half(-table[x[:-2], x[1:-1], x[2:]], np.flatnonzero(x[2:] == line_end)) if s else None)
+                scores.append(float(-table[x[:-2], x[1:-1], x[2:]].mean()) if s else None)
             return ids, scores, junk, words
 
         return run
@@ -221,7 +210,7 @@ def page_scores(documents: DataFrame) -> DataFrame:
 
 
 #: A page is abnormal if its log perplexity is this many scaled median deviations from the median.
-DEVIATIONS = 1.0
+DEVIATIONS = 0.75
 
 #: Share of words in junk lines from which a page consists of them for the most part; a little under
 #: half, because the first use of each repeated keyword does not count as junk.
