@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import read_table
 from .leakage import found_leaks, leaked_spans
 from .lookalike import canonical_texts, found_lookalikes
+from .neardup import found_near_duplicates, near_duplicate_groups
 from .split import found_oversized, split_items
 from .stuffing import found_junk, page_scores
 
@@ -45,7 +46,15 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_near_duplicates(read_table(spark, sf_dir, "chunks"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(read_table(spark, sf_dir, "chunks"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
 
 # Boundaries are line feeds and spaces after sentence marks; an item is forced if one of the
 # stretches between them is longer than the limit.
