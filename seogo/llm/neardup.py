@@ -35,7 +35,7 @@ THRESHOLD, RUN, LEAST_TOKENS = 0.6, 3, 40
 #: Buckets of the count table; its size does not grow with the data.
 BUCKETS = 1 << 18
 #: Reference fingerprints: each is the union of hash classes named by one row of a +-1 design.
-PIVOTS = 64
+PIVOTS = 32
 _HASH_BITS = 48
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -56,20 +56,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], known: _TokenHashes, run: int = RUN, least: int = LEAST_TOKENS) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Of texts with enough tokens: (their numbers, hashes of their token sequences, offsets, sorted
-    distinct run hashes)."""
-    numbers, classes, flat, sizes = [], [], [], []
+def shingle_sets(texts: list[str], known: _TokenHashes, run: int = RUN, least: int = LEAST_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with enough tokens: (their numbers, 64-bit hashes of their token sequences, offsets,
+    sorted distinct run hashes)."""
+    numbers, names, flat, sizes = [], [], [], []
     for k, text in enumerate(texts):
         tokens = (text or "").lower().split()
         if len(tokens) < max(least, run):
             continue
         numbers.append(k)
-        classes.append(xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass")))
+        names.append(xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass")))
         flat += map(known.__getitem__, tokens)
         sizes.append(len(tokens))
     if not numbers:
-        return np.zeros(0, np.int64), [], np.zeros(1, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(1, np.int64), np.zeros(0, np.int64))
     t, sizes_ = np.array(flat, np.uint64), np.array(sizes)
     with np.errstate(over="ignore"):
         h = np.zeros(len(t) - run + 1, np.uint64)
@@ -85,7 +85,7 @@ def shingle_sets(texts: list[str], known: _TokenHashes, run: int = RUN, least: i
     keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[keep], owner[keep]
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
-    return np.array(numbers), classes, offsets, h.astype(np.int64)
+    return np.array(numbers), np.array(names, np.uint64).astype(np.int64), offsets, h.astype(np.int64)
 
 
 def _design() -> np.ndarray:
@@ -107,33 +107,30 @@ def pivot_distances(offsets: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return np.diff(offsets)[:, None] - 2 * cells @ _design().T
 
 
-_SETS = "doc bigint, chunk_id string, cls binary, n int, runs array<bigint>, pivots array<smallint>"
-_SETS_ARROW = pa.schema([("doc", pa.int64()), ("chunk_id", pa.string()), ("cls", pa.binary()), ("n", pa.int32()), ("runs", pa.list_(pa.int64())), ("pivots", pa.list_(pa.int16()))])
+_SETS = "doc bigint, chunk_id string, runs array<bigint>, pivots array<smallint>"
+_SETS_ARROW = pa.schema([("doc", pa.int64()), ("chunk_id", pa.string()), ("runs", pa.list_(pa.int64())), ("pivots", pa.list_(pa.int16()))])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    doc, known, seen = TaskContext.get().partitionId() << 33, _TokenHashes(), set()
+    known, seen = _TokenHashes(), set()
     for batch in batches:
-        ids = batch.column(0)
         numbers, classes, offsets, runs = shingle_sets(batch.column(1).to_pylist(), known)
-        n = len(numbers)
         first = np.array([c not in seen and not seen.add(c) for c in classes], bool)
         # a copy of a set of the same task keeps its class only
         sizes = np.diff(offsets)
-        kept = np.where(first, sizes, 0)
-        table = np.clip(pivot_distances(offsets, runs), -32768, 32767).astype(np.int16)
-        runs = runs[np.repeat(first, sizes)]
+        table = np.clip(pivot_distances(offsets, runs)[first], -32768, 32767).astype(np.int16)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.arange(doc, doc + n)), ids.take(pa.array(numbers, pa.int64())), pa.array(classes, pa.binary()), pa.array(sizes.astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(runs)),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PIVOTS), pa.array(table.ravel())),
+                pa.array(classes), batch.column(0).take(pa.array(numbers, pa.int64())),
+                pa.ListArray.from_arrays(_offsets(np.where(first, sizes, 0)), pa.array(runs[np.repeat(first, sizes)])),
+                pa.ListArray.from_arrays(_offsets(np.where(first, PIVOTS, 0)), pa.array(table.ravel())),
             ],
             schema=_SETS_ARROW,
         )
-        doc += n
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
 def _bucket(runs: np.ndarray) -> np.ndarray:
@@ -170,22 +167,34 @@ def _prefixes(table: np.ndarray, threshold: float):  # noqa: ANN202
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``h``, those whose ``h`` occurs again; holds one row between batches."""
-    held: pa.RecordBatch | None = None
-    last = None
+    """Of rows sorted by (h, doc), one per h and doc where another doc has the same h.
+
+    Holds one row between batches; copies of one class, which may arrive from several tasks, count once.
+    """
+    held: pa.RecordBatch | None = None  # a last row that may yet meet its like
+    open_h = last = None  # the h of a last row that was given out; the last (h, doc)
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(0).to_numpy()
+        h, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        if last is not None:
+            fresh[0] = (h[0], doc[0]) != last
+        last = (h[-1], doc[-1])
+        batch = batch.filter(pa.array(fresh))
+        if not batch.num_rows:
+            continue
+        h = h[fresh]
         same = h[1:] == h[:-1]
-        before = np.concatenate([[last is not None and h[0] == last], same])
-        after = np.concatenate([same, [False]])
-        if held is not None and before[0]:
+        joins_held = held is not None and held.column(0)[0].as_py() == h[0]
+        before = np.concatenate([[joins_held or open_h == h[0]], same])
+        keep = before | np.concatenate([same, [False]])
+        if joins_held:
             yield held
-        keep = before | after
         yield batch.filter(pa.array(keep))
         held = None if keep[-1] else batch.slice(batch.num_rows - 1)
-        last = h[-1]
+        open_h = h[-1] if keep[-1] else None
 
 
 def _verified(threshold: float):  # noqa: ANN202
@@ -208,7 +217,8 @@ def similar_sets(chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     """(links, members): (class_a, class_b) of similar classes of copies and (cls, id) of all chunks.
 
     Chunks with fewer than ``LEAST_TOKENS`` tokens, or null texts, belong to no class. A chunk id stored
-    twice with one text counts once; with two texts it belongs to two classes. Extra columns are ignored.
+    twice with one text counts once; with two texts it belongs to two classes. Extra columns are
+    ignored. A class is named by a 64-bit hash of its tokens.
     """
     spark = chunks.sparkSession
     texts = chunks.select(F.col("chunk_id").cast("string"), F.col("text").cast("string")).filter("chunk_id is not null and text is not null")
@@ -217,30 +227,39 @@ def similar_sets(chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     for r in sets.select("runs").mapInArrow(_counted, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         table[r.bucket] = r.n  # at most BUCKETS rows
     held = sets.filter(F.size("runs") > 0)
-    again = held.groupBy("cls").agg(F.min("doc").alias("least"), F.count("*").alias("c")).filter("c > 1").select("cls", "least")
-    copies = held.select("cls", "doc").join(again, "cls").filter("doc <> least").select("doc")
-    single = held.join(copies, "doc", "left_anti")
-    rows = single.select("doc", "runs").mapInArrow(_prefixes(table, threshold), "h bigint, doc bigint, n int, place int")
+    rows = held.select("doc", "runs").mapInArrow(_prefixes(table, threshold), "h bigint, doc bigint, n int, place int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = written(rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared, "h bigint, doc bigint, n int, place int"), "p5-shared")
+    shared = written(rows.repartition(parts, "h").sortWithinPartitions("h", "doc").mapInArrow(_shared, "h bigint, doc bigint, n int, place int"), "p5-shared")
     x = shared.select("h", *(F.col(c).alias(c + "a") for c in ("doc", "n", "place")))
     y = shared.select("h", *(F.col(c).alias(c + "b") for c in ("doc", "n", "place")))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    room = 1 + F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")) - 1
+    room = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
     pairs = x.join(y, "h").filter((F.col("doca") < F.col("docb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (room >= need))
-    pairs = pairs.select(F.col("doca").alias("a"), F.col("docb").alias("b"), "na", "nb").distinct()
+    pairs = written(pairs.select(F.col("doca").alias("a"), F.col("docb").alias("b"), "na", "nb").distinct(), "p5-pairs")
     # pivot tables: the largest coordinate difference bounds the Hamming distance from below
-    pa_, pb_ = (single.select(F.col("doc").alias(c), F.col("pivots").alias("p" + c)) for c in "ab")
+    met = _ends(pairs)
+    tables = _those(held.select("doc", "pivots"), met).dropDuplicates(["doc"])
+    ta, tb = (tables.select(F.col("doc").alias(c), F.col("pivots").alias("p" + c)) for c in "ab")
     far = F.array_max(F.zip_with("pa", "pb", lambda u, v: F.abs(u - v)))
     most = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("na") + F.col("nb")) + 1e-9)
-    near = written(pairs.join(pa_, "a").join(pb_, "b").filter(far <= most).select("a", "b"), "p5-near")
-    wanted = near.select(F.col("a").alias("doc")).union(near.select(F.col("b").alias("doc"))).distinct()
-    full = single.join(wanted, "doc", "left_semi").select("doc", "cls", "runs")
+    near = written(pairs.join(ta, "a").join(tb, "b").filter(far <= most).select("a", "b"), "p5-near")
+    full = _those(held.select("doc", "runs"), _ends(near)).dropDuplicates(["doc"])
     fa, fb = (full.select(F.col("doc").alias(c), F.col("runs").alias("r" + c)) for c in "ab")
     sure = near.join(fa, "a").join(fb, "b").select("a", "b", "ra", "rb").mapInArrow(_verified(threshold), "a bigint, b bigint")
-    names = full.select("doc", "cls")
-    links = sure.join(names.select(F.col("doc").alias("a"), F.col("cls").alias("class_a")), "a").join(names.select(F.col("doc").alias("b"), F.col("cls").alias("class_b")), "b")
-    return links.select("class_a", "class_b"), sets.select("cls", F.col("chunk_id").alias("id")).distinct()
+    return sure.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), sets.select(F.col("doc").alias("cls"), F.col("chunk_id").alias("id")).distinct()
+
+
+#: Ids up to this number (8 bytes each) are broadcast; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+
+
+def _those(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``doc`` is among ``ids``; the ids are broadcast only if they were counted to be few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
 
 
 def found_near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, full_class: int = FULL_CLASS) -> DataFrame:
@@ -282,13 +301,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def near_duplicate_groups(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(chunk_id, group_id, links): one row per chunk that has a class; groups are connected by links.
 
-    ``group_id`` is the hash of the smallest class of the group, ``links`` the number of classes
+    ``group_id`` is the smallest class name of the group, ``links`` the number of classes
     similar to the chunk's own.
     """
     links, members = similar_sets(chunks, threshold)
-    links = written(links.select(F.hex("class_a").alias("u"), F.hex("class_b").alias("v")), "p5-links")
+    links = written(links.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")), "p5-links")
     degree = links.select("u").union(links.select("v")).groupBy("u").agg(F.count("*").alias("links")).withColumnRenamed("u", "c")
     group = components(links).select(F.col("node").alias("c"), "component")
-    m = members.select(F.hex("cls").alias("c"), F.col("id").alias("chunk_id"))
+    m = members.select(F.col("cls").alias("c"), F.col("id").alias("chunk_id"))
     out = m.join(group, "c", "left").join(degree, "c", "left")
     return out.select("chunk_id", F.coalesce("component", "c").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
