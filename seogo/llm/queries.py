@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import read_table
+from .encoding import found_garbled, garbled_records, repaired
 from .leakage import found_leaks, leaked_spans
 from .lookalike import canonical_texts, found_lookalikes
 from .neardup import found_near_duplicates, near_duplicate_groups
@@ -54,7 +55,16 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_garbled(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "parts"))
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = garbled_records(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "parts"))
+    return repaired(records, ["item_kind", "item_id"], "text").filter("garbled")
+
+
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_restored": p6_restored, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
 
 # Boundaries are line feeds and spaces after sentence marks; an item is forced if one of the
 # stretches between them is longer than the limit.
