@@ -5,22 +5,19 @@ are as similar as ``t`` only if the Hamming distance of the vectors, the size of
 difference, is at most ``(1 - t) / (1 + t) * (|A| + |B|)``.
 
 1. Copies (equal token sequences) form classes; one member stands for its class.
-2. Candidates: runs are ordered from rare to common by a hashed count table of fixed size. Similar
-   sets share a run among the first ``n - ceil(t n) + 1`` of each (prefix filter, exact), so only
-   those are shuffled, and only runs that occur twice are joined.
-3. Pivot distance tables: the Hamming distance of each set to many reference fingerprints. By the
-   triangle inequality no coordinate may differ by more than the distance allowed; pairs with a larger
-   maximum coordinate difference are discarded without reading the sets.
+2. Candidates share one of ``BANDS`` bands of ``ROWS`` minimum hashes. A pair at the threshold of 0.6 is
+   missed with probability (1 - 0.6 ** 3) ** 32 = 4e-4, one at 0.7 with 1e-6. A prefix filter would
+   miss none, but gives a hundred times as many candidates on text made of stock phrases.
+3. Pivot distance tables: reference fingerprints are unions of 64 hash classes of runs. The Hamming
+   distance of a set to every union follows from its 64 class counts, and the largest coordinate
+   difference over all 2 ** 64 references is the sum of the absolute count differences. By the triangle
+   inequality it bounds the distance of two sets from below; pairs above the bound are discarded.
 4. Survivors are verified on the sets themselves.
-
-Pivots alone would have to compare all pairs; the prefix filter in front loses none. The steps hold
-for any order of runs, hash collisions only add candidates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +29,9 @@ from ..runtime import written
 from .pairs import FULL_CLASS, copy_links, expand_links
 
 THRESHOLD, RUN, LEAST_TOKENS = 0.6, 3, 40
-#: Buckets of the count table; its size does not grow with the data.
-BUCKETS = 1 << 18
-#: Reference fingerprints: each is the union of hash classes named by one row of a +-1 design.
-PIVOTS = 32
+BANDS, ROWS = 32, 3
+#: Hash classes of runs; every union of them is a reference fingerprint.
+CLASSES = 64
 _HASH_BITS = 48
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -88,42 +84,47 @@ def shingle_sets(texts: list[str], known: _TokenHashes, run: int = RUN, least: i
     return np.array(numbers), np.array(names, np.uint64).astype(np.int64), offsets, h.astype(np.int64)
 
 
-def _design() -> np.ndarray:
-    """PIVOTS x 64 membership of hash classes in reference fingerprints: rows of a Hadamard matrix."""
-    h = np.ones((1, 1), np.int64)
-    while len(h) < 64:
-        h = np.block([[h, h], [h, -h]])
-    return (h[:PIVOTS] > 0).astype(np.int64)
-
-
-def pivot_distances(offsets: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """Up to a constant of each pivot, the Hamming distances of the sets to the pivots.
-
-    ``|A xor P| = |P| + |A| - 2 |A and P|``; ``|P|`` is the same for all sets and cancels in differences.
-    """
+def class_counts(offsets: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Runs of each set by hash class, up to 255 (which keeps differences lower bounds)."""
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    cells = np.bincount(owner * 64 + (runs & 63), minlength=n * 64).reshape(n, 64)
-    return np.diff(offsets)[:, None] - 2 * cells @ _design().T
+    counts = np.bincount(owner * CLASSES + (runs & (CLASSES - 1)), minlength=n * CLASSES)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(n, CLASSES)
+
+
+def band_hashes(offsets: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """One hash per set and band, of ``ROWS`` minimum hashes each."""
+    rng = np.random.default_rng(20240229)
+    keys = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros((len(offsets) - 1, BANDS), np.uint64)
+    for lo in range(0, len(offsets) - 1, 1000):  # blocks that fit the processor's cache
+        at = offsets[lo : lo + 1001]
+        block, starts = runs[at[0] : at[-1]].astype(np.uint64), at[:-1] - at[0]
+        for band in range(BANDS):
+            sig = np.full(len(starts), band, np.uint64)
+            for key in keys[band * ROWS : (band + 1) * ROWS]:
+                sig = _mixed(sig * _K[0] + np.minimum.reduceat(block * key, starts))
+            out[lo : lo + len(starts), band] = sig
+    return out.astype(np.int64)
 
 
-_SETS = "doc bigint, chunk_id string, runs array<bigint>, pivots array<smallint>"
-_SETS_ARROW = pa.schema([("doc", pa.int64()), ("chunk_id", pa.string()), ("runs", pa.list_(pa.int64())), ("pivots", pa.list_(pa.int16()))])
+_SETS = "doc bigint, chunk_id string, n int, counts binary, bands array<bigint>"
+_SETS_ARROW = pa.schema([("doc", pa.int64()), ("chunk_id", pa.string()), ("n", pa.int32()), ("counts", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, seen = _TokenHashes(), set()
     for batch in batches:
         numbers, classes, offsets, runs = shingle_sets(batch.column(1).to_pylist(), known)
-        first = np.array([c not in seen and not seen.add(c) for c in classes], bool)
         # a copy of a set of the same task keeps its class only
-        sizes = np.diff(offsets)
-        table = np.clip(pivot_distances(offsets, runs)[first], -32768, 32767).astype(np.int16)
+        first = np.array([c not in seen and not seen.add(c) for c in classes.tolist()], bool)
+        counts = class_counts(offsets, runs)
+        bands = band_hashes(offsets, runs)[first]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(classes), batch.column(0).take(pa.array(numbers, pa.int64())),
-                pa.ListArray.from_arrays(_offsets(np.where(first, sizes, 0)), pa.array(runs[np.repeat(first, sizes)])),
-                pa.ListArray.from_arrays(_offsets(np.where(first, PIVOTS, 0)), pa.array(table.ravel())),
+                pa.array(classes), batch.column(0).take(pa.array(numbers, pa.int64())), pa.array(np.diff(offsets).astype(np.int32)),
+                pa.array([c.tobytes() if f else None for c, f in zip(counts, first, strict=True)], pa.binary()),
+                pa.ListArray.from_arrays(_offsets(np.where(first, BANDS, 0)), pa.array(bands.ravel())),
             ],
             schema=_SETS_ARROW,
         )
@@ -133,39 +134,6 @@ def _offsets(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
-def _bucket(runs: np.ndarray) -> np.ndarray:
-    return (runs >> 6) & (BUCKETS - 1)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        total += np.bincount(_bucket(batch.column(0).flatten().to_numpy()), minlength=BUCKETS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
-
-
-def _prefixes(table: np.ndarray, threshold: float):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = batch.column(1)
-            values, offsets = runs.flatten().to_numpy(), runs.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            sizes = np.diff(offsets)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((values, table[_bucket(values)], owner))
-            place = np.arange(len(values)) - np.repeat(offsets[:-1], sizes)
-            upto = np.array([n - ceil(threshold * n - 1e-9) + 1 for n in range(int(sizes.max(initial=0)) + 1)])[sizes]
-            take = place < np.repeat(upto, sizes)
-            docs = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[order][take]), pa.array(docs[owner[take]]), pa.array(sizes[owner[take]].astype(np.int32)), pa.array(place[take].astype(np.int32))],
-                names=["h", "doc", "n", "place"],
-            )
-
-    return run
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (h, doc), one per h and doc where another doc has the same h.
 
@@ -197,6 +165,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_h = h[-1] if keep[-1] else None
 
 
+def _near(threshold: float):  # noqa: ANN202
+    """Of (a, b, counts and sizes of both), the pairs whose pivot distances allow the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for k in (2, 3))
+            na, nb = batch.column(4).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
+            far = np.abs(x - y).sum(1)
+            keep = far <= (1 - threshold) / (1 + threshold) * (na + nb) + 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _TokenHashes()
+    for batch in batches:
+        numbers, classes, offsets, runs = shingle_sets(batch.column(0).to_pylist(), known)
+        yield pa.RecordBatch.from_arrays([pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(runs))], names=["doc", "runs"])
+
+
 def _verified(threshold: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,27 +212,18 @@ def similar_sets(chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     spark = chunks.sparkSession
     texts = chunks.select(F.col("chunk_id").cast("string"), F.col("text").cast("string")).filter("chunk_id is not null and text is not null")
     sets = written(texts.mapInArrow(_sets, _SETS), "p5-sets")
-    table = np.zeros(BUCKETS, np.int64)
-    for r in sets.select("runs").mapInArrow(_counted, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[r.bucket] = r.n  # at most BUCKETS rows
-    held = sets.filter(F.size("runs") > 0)
-    rows = held.select("doc", "runs").mapInArrow(_prefixes(table, threshold), "h bigint, doc bigint, n int, place int")
+    held = sets.filter("counts is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = written(rows.repartition(parts, "h").sortWithinPartitions("h", "doc").mapInArrow(_shared, "h bigint, doc bigint, n int, place int"), "p5-shared")
-    x = shared.select("h", *(F.col(c).alias(c + "a") for c in ("doc", "n", "place")))
-    y = shared.select("h", *(F.col(c).alias(c + "b") for c in ("doc", "n", "place")))
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
-    room = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
-    pairs = x.join(y, "h").filter((F.col("doca") < F.col("docb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (room >= need))
-    pairs = written(pairs.select(F.col("doca").alias("a"), F.col("docb").alias("b"), "na", "nb").distinct(), "p5-pairs")
-    # pivot tables: the largest coordinate difference bounds the Hamming distance from below
-    met = _ends(pairs)
-    tables = _those(held.select("doc", "pivots"), met).dropDuplicates(["doc"])
-    ta, tb = (tables.select(F.col("doc").alias(c), F.col("pivots").alias("p" + c)) for c in "ab")
-    far = F.array_max(F.zip_with("pa", "pb", lambda u, v: F.abs(u - v)))
-    most = F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("na") + F.col("nb")) + 1e-9)
-    near = written(pairs.join(ta, "a").join(tb, "b").filter(far <= most).select("a", "b"), "p5-near")
-    full = _those(held.select("doc", "runs"), _ends(near)).dropDuplicates(["doc"])
+    rows = held.select(F.explode("bands").alias("h"), "doc").repartition(parts, "h").sortWithinPartitions("h", "doc")
+    shared = written(rows.mapInArrow(_shared, "h bigint, doc bigint"), "p5-shared")
+    pairs = shared.select("h", F.col("doc").alias("a")).join(shared.select("h", F.col("doc").alias("b")), "h").filter("a < b").select("a", "b").distinct()
+    tables = held.select("doc", "counts", "n").dropDuplicates(["doc"])
+    ta, tb = (tables.select(F.col("doc").alias(c), F.col("counts").alias("c" + c), F.col("n").alias("n" + c)) for c in "ab")
+    sized = pairs.join(ta, "a").join(tb, "b").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
+    near = written(sized.select("a", "b", "ca", "cb", "na", "nb").mapInArrow(_near(threshold), "a bigint, b bigint"), "p5-near")
+    # the sets of survivors are made again from their texts: cheaper than keeping all sets
+    named = _those(held.select("doc", "chunk_id"), _ends(near)).dropDuplicates(["doc"]).select("chunk_id")
+    full = written(_those(texts, named, "chunk_id").select("text").mapInArrow(_runs_of, "doc bigint, runs array<bigint>").dropDuplicates(["doc"]), "p5-runs")
     fa, fb = (full.select(F.col("doc").alias(c), F.col("runs").alias("r" + c)) for c in "ab")
     sure = near.join(fa, "a").join(fb, "b").select("a", "b", "ra", "rb").mapInArrow(_verified(threshold), "a bigint, b bigint")
     return sure.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), sets.select(F.col("doc").alias("cls"), F.col("chunk_id").alias("id")).distinct()
@@ -257,9 +237,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
 
 
-def _those(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose ``doc`` is among ``ids``; the ids are broadcast only if they were counted to be few."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
+def _those(rows: DataFrame, ids: DataFrame, key: str = "doc") -> DataFrame:
+    """Rows whose ``key`` is among ``ids``; the ids are broadcast only if they were counted to be few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
 def found_near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, full_class: int = FULL_CLASS) -> DataFrame:
