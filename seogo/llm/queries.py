@@ -8,6 +8,7 @@ from ..runtime import read_table
 from .encoding import found_garbled, garbled_records, repaired
 from .leakage import found_leaks, leaked_spans
 from .lookalike import canonical_texts, found_lookalikes
+from .mail import authored_texts, found_unwritten
 from .neardup import found_near_duplicates, near_duplicate_groups
 from .split import found_oversized, split_items
 from .stuffing import found_junk, page_scores
@@ -64,7 +65,15 @@ def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(records, ["item_kind", "item_id"], "text").filter("garbled")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_restored": p6_restored, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_unwritten(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "parts"))
+
+
+def p1_authored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authored_texts(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "parts"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_restored": p6_restored, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
 
 # Boundaries are line feeds and spaces after sentence marks; an item is forced if one of the
 # stretches between them is longer than the limit.
