@@ -10,6 +10,7 @@ from .leakage import found_leaks, leaked_spans
 from .lookalike import canonical_texts, found_lookalikes
 from .mail import authored_texts, found_unwritten
 from .neardup import found_near_duplicates, near_duplicate_groups
+from .packing import packed, packing_report
 from .pii import found_personal, redacted
 from .split import found_oversized, split_items
 from .stuffing import found_junk, page_scores
@@ -82,7 +83,15 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "parts"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_restored": p6_restored, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read_table(spark, sf_dir, "documents"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(p8_containers(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_restored": p6_restored, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
 
 # Boundaries are line feeds and spaces after sentence marks; an item is forced if one of the
 # stretches between them is longer than the limit.
