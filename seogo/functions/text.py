@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Fixed values of the tokenizer and of the cleaning rules.
 WORD = r"[가-힣]+|[a-zA-Z][a-zA-Z0-9_]*|\p{Nd}+"
@@ -29,14 +30,13 @@ LINK_LABELS = {"confluence": "컨플루언스:", "nanumi": "나누미:", "web":
 _MAY_CHANGE = r"[\p{M}\u0340-\u0374\u037e\u0387\u1100-\u11ff\u1f71-\u1fff\u2000\u2001\u2126\u212a\u212b\u2329\u232a\u2adc\uf900-\ufaff\ufb1d-\ufb4e]"
 
 
-@pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
+def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def nfc(text: Column) -> Column:
     """Canonical composition; null stays null."""
-    return F.coalesce(_nfc(F.when(text.rlike(_MAY_CHANGE), text)), text)
+    return F.coalesce(pandas_udf(_composed, StringType())(F.when(text.rlike(_MAY_CHANGE), text)), text)
 
 
 def strip(text: Column) -> Column:
