@@ -189,14 +189,19 @@ def normalise_times(df: DataFrame, value: str, tz: str | None = None, *, utc: st
     twice give the earlier instant; skipped ones are moved on by the gap; local years before 1900
     or after 2100 use the first or last known offset. ``how`` adds a column that says
     which case applied (epoch, offset, local, ambiguous, skipped; null for no time). Every row
-    of ``df`` comes out exactly once and keeps its columns; working columns carry a ``_t_`` prefix.
+    of ``df`` comes out exactly once with all its columns, whatever their names; existing columns named
+    like the results are replaced.
     """
-    known = F.col(tz) if tz else F.lit(None).cast("string")
-    base = df.withColumn("_t_tz", F.coalesce(known, F.lit(default_zone)))
+    quoted = lambda c: F.col(f"`{c}`")
+    kept = [c for c in df.columns if c not in (utc, how)]
+    zone = quoted(tz).cast("string") if tz else F.lit(None).cast("string")
+    # the caller's row travels in one struct, so that no name of it can clash with a working column
+    row = F.struct(*(quoted(c) for c in kept)) if kept else F.lit(None).cast("struct<none:int>")
+    base = df.select(row.alias("_t_row"), quoted(value).cast("string").alias("_t_value"), F.coalesce(zone, F.lit(default_zone)).alias("_t_tz"))
     zones = base.select(F.col("_t_tz").alias("zone")).union(df.sparkSession.createDataFrame([(default_zone,)], "zone string")).distinct()
     spans = zones.mapInPandas(_interval_batches, _INTERVALS)
     have = spans.select(F.col("zone").alias("_t_tz"), F.col("year").alias("_t_year"), F.col("spans").alias("_t_spans"))
-    parsed = parse_times(base, value)
+    parsed = parse_times(base, "_t_value")
     year = F.least(F.greatest(F.year(F.date_from_unix_date((F.col("_t_local") / 86400).cast("int"))), F.lit(FIRST_YEAR)), F.lit(LAST_YEAR))
     parsed = parsed.withColumn("_t_year", F.when(F.col("_t_off").isNull() & F.col("_t_local").isNotNull(), year))
     joined = parsed.join(F.broadcast(have), ["_t_tz", "_t_year"], "left")
@@ -206,10 +211,9 @@ def normalise_times(df: DataFrame, value: str, tz: str | None = None, *, utc: st
     gap = F.filter("_t_spans", lambda x: (x["lo"] <= F.col("_t_local")) & (F.col("_t_local") < x["hi"]) & x["gap"])
     joined = joined.withColumns({"_t_hit": hit, "_t_gap": gap})
     offset = F.when(F.size("_t_hit") > 0, F.array_max(F.transform("_t_hit", lambda x: x["off"]))).otherwise(F.array_max(F.transform("_t_gap", lambda x: x["off"])))
-    out = joined.withColumn(utc, F.coalesce(F.col("_t_utc"), F.col("_t_local") - F.coalesce(F.col("_t_off"), offset)))
-    if how:
-        out = out.withColumn(how, F.when(F.col(utc).isNull(), F.lit(None).cast("string")).when(F.col("_t_utc").isNotNull(), "epoch").when(F.col("_t_off").isNotNull(), "offset").when(F.size("_t_hit") > 1, "ambiguous").when(F.size("_t_hit") == 1, "local").otherwise("skipped"))
-    return out.drop(*(c for c in out.columns if c.startswith("_t_")))
+    joined = joined.withColumn("_t_out", F.coalesce(F.col("_t_utc"), F.col("_t_local") - F.coalesce(F.col("_t_off"), offset)))
+    case = F.when(F.col("_t_out").isNull(), F.lit(None).cast("string")).when(F.col("_t_utc").isNotNull(), "epoch").when(F.col("_t_off").isNotNull(), "offset").when(F.size("_t_hit") > 1, "ambiguous").when(F.size("_t_hit") == 1, "local").otherwise("skipped")
+    return joined.select(*(F.col("_t_row")[c].alias(c) for c in kept), F.col("_t_out").alias(utc), *([case.alias(how)] if how else []))
 
 
 def found_times(chunks: DataFrame) -> DataFrame:
