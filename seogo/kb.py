@@ -100,8 +100,7 @@ class KnowledgeBase:
         key = (self.store.version(self.kb_id), self.synonyms.signature)
         if self._index is None or self._index[0] != key:
             built = R.build_index(self._chunks(), self.synonyms)
-            tables = {name: written(table, name.replace("_", "-")) for name, table in vars(built).items()}
-            self._index = (key, R.Index(**tables))
+            self._index = (key, R.Index(**{name: written(getattr(built, name), name) for name in R.Index.NAMES}))
         return self._index[1]
 
     def _chunks(self) -> DataFrame:

@@ -6,7 +6,7 @@ All statistics are per knowledge base (``kb_id``) and cover it whole; filters ap
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_units, tokens
+from ..runtime import spread, written
 from .synonyms import Synonyms
 
 K1, B, RRF_K = 1.4, 0.75, 60
@@ -31,30 +32,61 @@ def index_body(chunks: DataFrame, synonyms: Synonyms | None = None) -> Column:
     return F.concat_ws(" ", body, synonyms.expansion(body)) if synonyms else body
 
 
-@dataclass
 class Index:
-    """Tables of an inverted index; ``kb_id`` and ``chunk_id`` name a chunk."""
+    """Tables of an inverted index; ``kb_id`` and ``chunk_id`` name a chunk.
 
-    postings: DataFrame  # kb_id, chunk_id, token, tf
-    lengths: DataFrame  # kb_id, chunk_id, length
-    token_df: DataFrame  # kb_id, token, df
-    corpus: DataFrame  # kb_id, n, avgdl
-    units: DataFrame  # kb_id, chunk_id, unit
-    unit_df: DataFrame  # kb_id, unit, df
+    Texts are taken apart once per kind (tokens, units), when a table of that kind is first asked for; the
+    result is written and all tables of the kind are made from it. ``tables`` are ready-made ones.
+    """
+
+    NAMES = ("postings", "lengths", "token_df", "corpus", "units", "unit_df")
+
+    def __init__(self, body: DataFrame | None = None, **tables: DataFrame) -> None:
+        self._body = body
+        self.__dict__.update(tables)
+
+    def _apart(self, how, label: str) -> DataFrame:  # noqa: ANN001
+        return written(spread(self._body).select("kb_id", "chunk_id", how(F.col("body")).alias("items")), label)
+
+    @cached_property
+    def _tokens(self) -> DataFrame:
+        return self._apart(tokens, "tokens")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """kb_id, chunk_id, token, tf"""
+        return self._tokens.select("kb_id", "chunk_id", F.explode("items").alias("token")).groupBy("kb_id", "chunk_id", "token").agg(F.count("*").alias("tf"))
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """kb_id, chunk_id, length"""
+        return self._tokens.select("kb_id", "chunk_id", F.size("items").cast("bigint").alias("length"))
+
+    @cached_property
+    def token_df(self) -> DataFrame:
+        """kb_id, token, df"""
+        return self.postings.groupBy("kb_id", "token").agg(F.count("*").alias("df"))
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """kb_id, n, avgdl"""
+        return self.lengths.groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
+
+    @cached_property
+    def units(self) -> DataFrame:
+        """kb_id, chunk_id, unit"""
+        return self._apart(content_units, "units").select("kb_id", "chunk_id", F.explode("items").alias("unit"))
+
+    @cached_property
+    def unit_df(self) -> DataFrame:
+        """kb_id, unit, df"""
+        return self.units.groupBy("kb_id", "unit").agg(F.count("*").alias("df"))
 
 
 def build_index(chunks: DataFrame, synonyms: Synonyms | None = None) -> Index:
     """The index of chunks with columns chunk_id, text and, where present, kb_id and context fields."""
     kb = F.col("kb_id") if "kb_id" in chunks.columns else F.lit("default")
-    body = chunks.select(kb.alias("kb_id"), "chunk_id", index_body(chunks, synonyms).alias("body"))
-    postings = body.select("kb_id", "chunk_id", F.explode(tokens(F.col("body"))).alias("token")).groupBy("kb_id", "chunk_id", "token").agg(F.count("*").alias("tf"))
-    lengths = body.select("kb_id", "chunk_id", F.size(tokens(F.col("body"))).cast("bigint").alias("length"))
-    corpus = lengths.groupBy("kb_id").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
-    units = body.select("kb_id", "chunk_id", F.explode(content_units(F.col("body"))).alias("unit"))
-    return Index(
-        postings, lengths, postings.groupBy("kb_id", "token").agg(F.count("*").alias("df")), corpus,
-        units, units.groupBy("kb_id", "unit").agg(F.count("*").alias("df")),
-    )
+    return Index(chunks.select(kb.alias("kb_id"), "chunk_id", index_body(chunks, synonyms).alias("body")))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -68,8 +100,10 @@ def bm25(index: Index, queries: DataFrame, allowed: DataFrame | None = None) ->
     statistics.
     """
     asked = queries.select("query_id", "kb_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    weighted = asked.join(index.token_df, ["kb_id", "token"]).join(index.corpus, "kb_id").select("query_id", "kb_id", "token", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    hits = index.postings.join(weighted, ["kb_id", "token"])
+    # only tokens that are asked for; as semi joins the optimizer moves them below the aggregations
+    terms = asked.select("kb_id", "token").distinct()
+    weighted = asked.join(index.token_df.join(terms, ["kb_id", "token"], "left_semi"), ["kb_id", "token"]).join(index.corpus, "kb_id").select("query_id", "kb_id", "token", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    hits = index.postings.join(terms, ["kb_id", "token"], "left_semi").join(weighted, ["kb_id", "token"])
     if allowed is not None:
         hits = hits.join(allowed, ["kb_id", "chunk_id"], "left_semi")
     hits = hits.join(index.lengths, ["kb_id", "chunk_id"])
@@ -162,11 +196,12 @@ def fuse(rankings: list[DataFrame], weights: list[float] | None = None, k: int =
 def relevance(index: Index, queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_id, kb_id, chunk_id, relevance): the weighted share of a query's units that a chunk has."""
     asked = queries.select("query_id", "kb_id", F.explode(content_units(F.col("query"))).alias("unit"))
-    weighted = asked.join(index.corpus.select("kb_id", "n"), "kb_id").join(index.unit_df, ["kb_id", "unit"], "left")
+    terms = asked.select("kb_id", "unit").distinct()
+    weighted = asked.join(index.corpus.select("kb_id", "n"), "kb_id").join(index.unit_df.join(terms, ["kb_id", "unit"], "left_semi"), ["kb_id", "unit"], "left")
     weighted = weighted.select("query_id", "kb_id", "unit", F.log(1 + F.col("n") / (F.coalesce(F.col("df"), F.lit(0)) + 0.5)).alias("w"))
     total = weighted.groupBy("query_id", "kb_id").agg(F.sum("w").alias("total"))
     wanted = candidates.select("query_id", "kb_id", "chunk_id").distinct()
-    had = wanted.join(weighted, ["query_id", "kb_id"]).join(index.units, ["kb_id", "chunk_id", "unit"], "left_semi").groupBy("query_id", "kb_id", "chunk_id").agg(F.sum("w").alias("had"))
+    had = wanted.join(weighted, ["query_id", "kb_id"]).join(index.units.join(terms, ["kb_id", "unit"], "left_semi"), ["kb_id", "chunk_id", "unit"], "left_semi").groupBy("query_id", "kb_id", "chunk_id").agg(F.sum("w").alias("had"))
     out = wanted.join(total, ["query_id", "kb_id"], "left").join(had, ["query_id", "kb_id", "chunk_id"], "left")
     return out.select("query_id", "kb_id", "chunk_id", F.coalesce(F.col("had") / F.col("total"), F.lit(0.0)).alias("relevance"))
 

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..kb import list_sources as sources_of
 from ..operators.chunking import chunk_blocks, chunk_parts, with_metadata
 from ..operators.filters import compile_where
-from ..runtime import read_table
+from ..runtime import read_table, spread
 from ..sources.files import paragraphs, text_parts
 
 
@@ -149,7 +149,7 @@ def inherited_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = text_parts(read_table(spark, sf_dir, "documents"), source_id="doc_id", text="text", source_name="title", source_type="source_type")
+    parts = text_parts(spread(read_table(spark, sf_dir, "documents")), source_id="doc_id", text="text", source_name="title", source_type="source_type")
     return with_metadata(chunk_parts(parts), parts).select("chunk_id", "chunk_index", "char_count", "kinds", "text")
 
 

@@ -15,7 +15,7 @@ from ..functions.text import content_units, tokens
 from ..operators import retrieval as R
 from ..operators.filters import compile_where
 from ..operators.synonyms import DEFAULT_GROUPS, Synonyms
-from ..runtime import read_table
+from ..runtime import read_table, spread
 
 TOP = 10
 
@@ -39,7 +39,7 @@ def _six(c: str):  # noqa: ANN202
 
 
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
@@ -159,7 +159,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked, index = _index(spark, sf_dir)
     pool = max(4 * 5, 20)
     head = F.concat_ws("\n", F.when(F.col("title") != "", F.col("title")), F.col("text"))
-    vectors = docs.select("kb_id", "chunk_id", embed(head).alias("embedding"))
+    vectors = spread(docs.select("kb_id", "chunk_id", head.alias("head"))).select("kb_id", "chunk_id", embed(F.col("head")).alias("embedding"))
     near = R.vector_search(vectors, asked.select("query_id", "kb_id", embed(F.col("query")).alias("embedding")), pool)
     words = R.ranked(R.bm25(index, asked), "score", pool)
     fused = R.fuse([near, words])
@@ -168,7 +168,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_features(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "idx", _six("val"))
+    return sparse_features(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "idx", _six("val"))
 
 
 def eval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: dict[str, str] = {}
 
@@ -44,16 +43,11 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many tasks as there are cores, for stages that compute much per row.
 
-
-def spread(df: DataFrame, rows_per_task: int = 0) -> DataFrame:
-    """Give CPU-heavy Python stages as many tasks as the session has shuffle partitions.
-
-    Small inputs arrive as one or two file splits; a round-robin exchange of the needed columns
-    keeps every core busy. ``rows_per_task`` is kept for callers that know their row cost.
+    A small table is often one file split and would keep one core busy. Tables with enough splits, as
+    every large one has, come back as they are.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartition(parts)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
