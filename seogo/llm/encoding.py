@@ -127,15 +127,16 @@ class ChainModel:
         score = self.table[:, ids] @ n
         return np.argsort(-score, kind="stable"), score
 
-    def plausible(self, text: str) -> bool:
-        """Reads like clean text: known syllables, letters and no controls or replacement marks."""
+    def plausible(self, text: str, known: float = 0.75) -> bool:
+        """Reads like clean text: syllables of which this share is known, letters, no controls or
+        replacement marks. What decodes as UTF-8 hardly does so by chance and need not be known."""
         odd = [c for c in text if not c.isascii()]
         if not odd:
             return False
         hangul = [c for c in odd if "가" <= c <= "힣"]
         other = [c for c in odd if not "가" <= c <= "힣" and not _EVERYDAY.fullmatch(c)]
         good = sum(c in self.common for c in hangul)
-        return good >= 0.75 * len(hangul) and len(other) * 4 <= len(odd) and not any("\x80" <= c <= "\x9f" or c == "�" for c in other)
+        return good >= known * len(hangul) and len(other) * 4 <= len(odd) and not any("\x80" <= c <= "\x9f" or c == "�" for c in other)
 
     def examine(self, segment: str) -> tuple[bool, str | None, str]:
         """(garbled, restored text, chain) of one suspicious segment."""
@@ -152,7 +153,7 @@ class ChainModel:
             if len(odd) < (4 if chain[0][0] == "cp949" else 2):  # two marks may happen to be one syllable
                 continue
             back = invert(segment, chain)
-            if back is not None and back != segment and self.plausible(back):
+            if back is not None and back != segment and self.plausible(back, 0.0 if chain[0][0] == "utf-8" else 0.75):
                 return True, back, _name(int(k))
         return False, None, ""
 

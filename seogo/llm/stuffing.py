@@ -5,7 +5,7 @@ particle or ending, and content words, numbers, codes, links, tags and separator
 content word that stood a few words before is a class of its own. A trigram model over these
 classes is trained on the prose lines of all pages (counts combine before the shuffle; the table is
 bounded by the cube of the alphabet). Pages whose perplexity is abnormally high or low against the
-median and median absolute deviation of all pages are candidates; an exact check of their lines
+median and median absolute deviation of all prose are candidates; an exact check of their lines
 then parts lists, tables and code that inform from repeated keywords, links and tags.
 """
 
@@ -154,13 +154,17 @@ def _sequences():  # noqa: ANN202
     return run
 
 
+def _is_prose(line: str) -> bool:
+    """A line of some words that ends like a sentence and does not go round in circles."""
+    return len(line) >= 6 and line[-1] == "." and (line.count("R") + line.count("Q") * 2) * 5 <= len(line)
+
+
 def _counts():  # noqa: ANN202
     def run(sequences):  # noqa: ANN001, ANN202
         c: Counter = Counter()
         for s in sequences:
             for line in s.split("/"):
-                # prose: a line of some words that ends like a sentence and does not go round in circles
-                if len(line) >= 6 and line[-1] == "." and (line.count("R") + line.count("Q") * 2) * 5 <= len(line):
+                if _is_prose(line):
                     x = "//" + line + "/"
                     c.update(zip(x, x[1:], x[2:], strict=False))
         return ["".join(k) for k in c], list(c.values())
@@ -181,10 +185,10 @@ def _model(counts: list[tuple[str, int]]) -> np.ndarray:
 
 
 def page_scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, log_perplexity, junk_words, words) of every distinct page.
+    """(doc_id, log_perplexity, prose_perplexity, junk_words, words) of every page.
 
-    ``log_perplexity`` is the mean negative log probability of a class under the prose model. Null
-    and empty texts have no words and a null score. Rows that come twice are scored twice; extra
+    ``log_perplexity`` is the mean negative log probability of a class under the prose model,
+    ``prose_perplexity`` the same over the page's prose lines (null if it has none). Null and empty texts have no words and a null score. Rows that come twice are scored twice; extra
     columns are ignored. Texts of any length are read whole.
     """
     pages = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
@@ -197,20 +201,21 @@ def page_scores(documents: DataFrame) -> DataFrame:
         for c, v in _CODE.items():
             lookup[ord(c)] = v
 
+        def mean(text: str) -> float | None:
+            x = lookup[np.frombuffer(("//" + text).encode("ascii"), np.uint8)]
+            return float(-table[x[:-2], x[1:-1], x[2:]].mean()) if text else None
+
         def run(ids, sequences, junk, words):  # noqa: ANN001, ANN202
-            scores = []
-            for s in sequences:
-                x = lookup[np.frombuffer(("//" + s).encode("ascii"), np.uint8)]
-                scores.append(float(-table[x[:-2], x[1:-1], x[2:]].mean()) if s else None)
-            return ids, scores, junk, words
+            prose = ["".join(x + "/" for x in s.split("/") if _is_prose(x)) for s in sequences]
+            return ids, list(map(mean, sequences)), list(map(mean, prose)), junk, words
 
         return run
 
-    return map_batches(seqs, make, "doc_id bigint, log_perplexity double, junk_words bigint, words bigint")
+    return map_batches(seqs, make, "doc_id bigint, log_perplexity double, prose_perplexity double, junk_words bigint, words bigint")
 
 
-#: A page is abnormal if its log perplexity is this many scaled median deviations from the median.
-DEVIATIONS = 0.75
+#: A page is abnormal if its log perplexity is this many scaled median deviations from the median of prose.
+DEVIATIONS = 6.0
 
 #: Share of words in junk lines from which a page consists of them for the most part; a little under
 #: half, because the first use of each repeated keyword does not count as junk.
@@ -221,11 +226,12 @@ def found_junk(documents: DataFrame, deviations: float = DEVIATIONS) -> DataFram
     """(doc_id) of pages that consist for the most part of repeated keywords, links or tags.
 
     Flagged are pages of abnormal perplexity, of which about half of the words stand in junk
-    lines (``JUNK_SHARE``). Pages without words are not flagged; an empty table gives an empty result.
+    lines (``JUNK_SHARE``); without any prose to compare with, all are abnormal. Pages without words are not flagged; an empty table gives an empty result.
     """
     scores = written(page_scores(documents), "p10-scores")
-    mid = scores.agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("m"))
-    off = scores.crossJoin(F.broadcast(mid)).agg(F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("m")), 0.5, 10000).alias("d"), F.first("m").alias("m"))
-    odd = F.abs(F.col("log_perplexity") - F.col("m")) > deviations * 1.4826 * F.col("d")
+    # one row each: the median of the pages' prose, and the median deviation from it
+    mid = scores.agg(F.percentile_approx("prose_perplexity", 0.5, 10000).alias("m"))
+    off = scores.crossJoin(F.broadcast(mid)).agg(F.percentile_approx(F.abs(F.col("prose_perplexity") - F.col("m")), 0.5, 10000).alias("d"), F.first("m").alias("m"))
+    odd = F.coalesce(F.abs(F.col("log_perplexity") - F.col("m")) > deviations * 1.4826 * F.col("d"), F.lit(True))
     flagged = scores.crossJoin(F.broadcast(off)).filter(odd & (F.col("junk_words") > F.col("words") * JUNK_SHARE))
     return flagged.select("doc_id").distinct()
