@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import written
 from .arrowmap import map_batches, texts_of
 from .pairs import expand_links
 
@@ -91,10 +92,7 @@ def canonical(text: str | None) -> str | None:
         # context: the starter before the run can take its marks, vowels or final consonants
         lo = max(done, lo - 1)
         out.append(text[done:lo])
-        segment = _segment(text[lo:hi])
-        if not segment and out:  # invisible run: what follows may combine with what stands before
-            pass
-        out.append(segment)
+        out.append(_segment(text[lo:hi]))
         done = hi
         found = _UNSTABLE.search(text, hi)
     out.append(text[done:])
@@ -135,7 +133,8 @@ def found_lookalikes(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     pairs with other classes, larger ones are linked by their representative.
     """
     items = texts_of(blocks, chunks).filter(F.col("text").isNotNull())
-    hashed = map_batches(items, _hashes, "item_kind string, item_id string, form binary, canon binary")
+    # hashed once; the steps below read it several times
+    hashed = written(map_batches(items, _hashes, "item_kind string, item_id string, form binary, canon binary"), "p4-hashes")
     # a group matters only if it holds two forms: min and max combine before the shuffle
     groups = hashed.groupBy("item_kind", "canon").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).filter("lo <> hi").select("item_kind", "canon")
     rows = hashed.join(groups, ["item_kind", "canon"], "left_semi").distinct()
