@@ -231,7 +231,7 @@ def similar_sets(chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
 
 
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
