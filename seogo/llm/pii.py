@@ -42,13 +42,13 @@ _NUMBER = re.compile(
     re.X,
 )
 _FORM_TYPE = {"licence": "id_number", "birth": "id_number", "social": "id_number", "passport": "id_number", "mobile": "phone", "trunk": "phone", "us": "phone", "abroad": "phone"}
-_AT = r"(?:@|\s?[(\[{]\s?(?:at|골뱅이)\s?[)\]}]\s?|\s(?:at|골뱅이)\s)"
+_AT = r"(?:\s?@\s?|\s?[(\[{]\s?(?:at|골뱅이)\s?[)\]}]\s?|\s(?:at|골뱅이)\s)"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|점)\s?[)\]}]\s?|\s(?:dot|점)\s)"
 _EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+\-]*{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+", re.I)
 _MAY_EMAIL = re.compile(r"@|골뱅이|[(\[{ ]at[)\]} ]", re.I)
 # A Korean address is found by the number after its road or village, then read back to its first word.
-_KOREAN_NUMBER = re.compile(r"(?<=[로길동리가])(?:\s?\d{1,3}(?:번)?길)?\s\d{1,4}(?:-\d{1,4})?(?:번지)?(?:,? \d{1,3}동 \d{1,4}호| \d{1,2}층| \([가-힣]{2,5}\))?")
-_KOREAN_HEAD = re.compile(r"(?<![가-힣])(?:(?:[가-힣]{1,6}(?:시|도)\s)?(?:[가-힣]{1,6}(?:시|군|구)\s)?(?:[가-힣]{1,6}(?:읍|면)\s)?)[가-힣]{1,8}$")
+_KOREAN_NUMBER = re.compile(r"(?:(?<=[로길동리])|(?<=\d가))(?:\s?\d{1,3}(?:번)?길)?\s\d{1,4}(?:-\d{1,4})?(?:번지)?(?:,? \d{1,3}동 \d{1,4}호| \d{1,2}층| \([가-힣]{2,5}\))?")
+_KOREAN_HEAD = re.compile(r"(?<![가-힣])(?:(?:[가-힣]{1,6}(?:시|도)\s)?(?:[가-힣]{1,6}(?:시|군|구)\s)?(?:[가-힣]{1,6}(?:읍|면)\s)?)[가-힣]{1,8}(?:\d가)?$")
 _ENGLISH_PLACE = re.compile(r"(?<![\w.\-])\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Lane|Ln|Road|Rd|Avenue|Ave|Drive|Dr|Way|Court|Close|Hill|Square|Place|Terrace|Row|Boulevard|Blvd)\b\.?(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)?)?")
 _GERMAN_PLACE = re.compile(r"(?<!\w)(?:[A-ZÄÖÜ][a-zäöüß]+ (?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Ring|Damm)|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)|Am [A-ZÄÖÜ][a-zäöüß]+) \d{1,4}[a-z]?(?:, \d{5} [A-ZÄÖÜ][a-zäöüß]+)?(?!\w)")
 _TITLE = "|".join(TITLES)
@@ -71,7 +71,7 @@ _LATIN_RIGHT = re.compile(r"(?:(?P<mark>,)|(?P<angle> <)|(?P<joins> and | oder )
 _LATIN_LEFT_KINDS = {k: v + 20 for v, k in enumerate(("label", "verb", "join", "start", "cell", "stop"))}
 _LATIN_RIGHT_KINDS = {k: v + 20 for v, k in enumerate(("mark", "angle", "joins", "verb", "own", "cell", "end", "stop"))}
 _ID_WORD = re.compile(r"(?:주민|등록|식별|면허|여권|외국인)\S*\s?:?\s*$|(?:passport|licen[cs]e|social security|ssn|id)\b(?: (?:no\.?|number))?\s*$|성명|지급용\s*$|신청인 [가-힣]{2,4}, $", re.I)
-_NOT_WORD = re.compile(r"(?:주문|계약|송장|품번|접수|관리|일련|문서|part no\.?|order|ref\.?|code|item)\S*\s?:?\s*$", re.I)
+_NOT_WORD = re.compile(r"(?:주문|계약|송장|품번|접수|관리|일련|문서|시각|일련값|part no\.?|order|ref\.?|code|item|time)\S*(?: 값은| 값)?\s?:?\s*$", re.I)
 _PHONE_WORD = re.compile(r"(?:☎|전화|연락처|번호는|급하면|긴급 시|야간에는|또는|도착하면|call|tel\.?|phone|mobile|fax|H\.?P\.?|T\.)\s?:?\s*$", re.I)
 _PLACE_WORD = re.compile(r"(?:주소:?|댁\(|현장은|곳은|택배는|원본은|소재지|lives at|keys of|ship\b.{1,30} to|address:?|wohnt)\s*$", re.I)
 _MAIL_WORD = re.compile(r"(?:✉|메일:?|회신은|자료는|e-?mail:?|mail|<|\(|또는|,)\s*$", re.I)

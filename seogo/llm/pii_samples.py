@@ -46,6 +46,11 @@ TEMPLATES = """
 강사료 지급용 {id}, 성명 {name} 확인 완료.
 입금자명 {name}이 신청서와 달라 {idword} {id} 앞자리로 대조했습니다.
 방문 등록을 위해 {idword} {id} 를 적어 두었으나 2022년 5월 20일 이후 삭제합니다.
+방문 등록을 위해 {id} 를 적어 두었으나 2022년 5월 20일 이후 삭제합니다.
+입금자명 {name}이 신청서와 달라 {id} 앞자리로 대조했습니다.
+본인 확인에 쓴 {id} 는 기록하지 않습니다.
+처리 시각 값은 {epoch} 로 기록되었습니다.
+기록 {epoch} 에서 오류가 났고 {order} 를 다시 보냈습니다.
 {name} 씨가 {thing} 문제를 먼저 알려 왔고, 번호는 {phone} 입니다.
 {name} 님께서 2021년 7월 8일에 장비를 반납하셨습니다.
 {name}님, {item} 확인 부탁드려요. 급하면 {phone}
@@ -102,6 +107,9 @@ The part no. {short3} belongs to the regional access log.
 {team}에서 받은 {item} 243부는 남문 초소에 두고 이력을 붙여 둡니다.
 정보보안팀은 2025년 3월 2일부터 {thing}을 진행하며 서식 번호는 보류합니다.
 사용 빈도로 12개를 나누고 {thing}은 한 달에 138번만 합니다.
+민원 창구 공사로 2차 점검은 32주 늦어지며 이력은 그대로 둡니다.
+3층 상담실 공사로 30일 동안 권한 신청을 받지 않습니다.
+공용 게시판의 담당 범위로 44건을 나누고 자동으로 330건을 처리합니다.
 전산실 공사로 1차 점검은 32주 늦어지며 이력만 따로 적습니다.
 신형 복합기 구입비 82,458,359원은 {code}에 반영했습니다.
 이용자가 늘어 조사 결과는 2021년 9월 27일로 옮기고, 권한은 우선 인사팀이 관리합니다.
@@ -223,7 +231,7 @@ def email(r: Random) -> str:
     if form == 1:
         return f"{user} [at] {host.replace('.', ' [dot] ')}"
     if form == 2:
-        return f"{user}＠{host}"
+        return f"{user}{_pick(r, ['＠', ' @ '])}{host}"
     return (user + "@" + host).upper() if form == 3 else f"{user}@{host}"
 
 
@@ -263,7 +271,7 @@ _ORDINARY = {
     "team": lambda r: _pick(r, TEAMS), "thing": lambda r: _pick(r, THINGS), "item": lambda r: _pick(r, ITEMS), "title": lambda r: _pick(r, TITLES),
     "code": lambda r: f"{_pick(r, ['DX', 'KE', 'MN', 'RG'])}-{_digits(r, 4)}", "idword": lambda r: _pick(r, ["주민번호", "주민등록번호", "식별번호", "운전면허번호", "면허", "여권번호", "여권:", "주민번호:"]),
     "short": lambda r: _digits(r, 4), "short3": lambda r: f"010-{_digits(r, 2)}-{_digits(r, 3)}", "ip": lambda r: f"10.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}",
-    "part": lambda r: f"01-{_digits(r, 4)}-{_digits(r, 4)}-{_pick(r, 'ABC')}", "order": _order,
+    "part": lambda r: f"01-{_digits(r, 4)}-{_digits(r, 4)}-{_pick(r, 'ABC')}", "order": _order, "epoch": lambda r: f"1{r.randrange(56, 80)}{_digits(r, 10)}",
     "contract": lambda r: f"제{r.randrange(2019, 2027)}-{_digits(r, 4)}호", "contract2": lambda r: f"{r.randrange(2019, 2027)}-{_digits(r, 4)}-{_digits(r, 4)}",
     "word": lambda r: _pick(r, WORDS), "addrbare": lambda r: _pick(r, STREETS), "enteam": lambda r: _pick(r, EN_TEAMS), "enitem": lambda r: _pick(r, EN_ITEMS),
 }
