@@ -78,6 +78,20 @@ _MAIL_WORD = re.compile(r"(?:✉|메일:?|회신은|자료는|e-?mail:?|mail|<|\
 _SPLIT_GIVEN = re.compile("|".join((*FAMILY_TWO, f"[{FAMILY}]")))
 
 
+def _wraps(plain: str, s: int, e: int) -> bool:
+    """Whether the bracket at ``s`` opens around a number like 02)123-4567 and is closed after it."""
+    if plain[plain.index(")", s) + 1] == " ":
+        return False
+    depth = 0
+    for c in plain[e : e + 80]:
+        if c == "\n":
+            return False
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            return True
+    return False
+
+
 def _numbers(plain: str):  # noqa: ANN202
     for c in _CLUSTER.finditer(plain):
         yield from _NUMBER.finditer(plain, c.start(), min(len(plain), c.end() + 3))
@@ -104,6 +118,8 @@ def candidates(text: str) -> list[tuple[int, int, int, tuple]]:
     for m in _numbers(plain):
         form, s, e = m.lastgroup, m.start(), m.end()
         kind = _FORM_TYPE[form]
+        if plain[s] == "(" and _wraps(plain, s, e):
+            s += 1
         left, right = plain[max(0, s - 24) : s], plain[e : e + 6]
         digits = re.sub(r"\D", "", m[0])
         born = form == "birth" and _valid_birth(digits)

@@ -195,7 +195,7 @@ def name(r: Random) -> str:
 
 def phone(r: Random) -> str:
     a, b = _digits(r, 4), _digits(r, 4)
-    kind = r.randrange(11)
+    kind = r.randrange(14)
     sep = _pick(r, ["-", "-", "-", ".", " "])
     if kind < 5:
         text = f"010{sep}{a}{sep}{b}"
@@ -203,7 +203,7 @@ def phone(r: Random) -> str:
         text = f"010{a}{b}"
     elif kind == 6:
         text = _pick(r, [f"+82 10 {a} {b}", f"+82-10-{a}-{b}", f"+8210{a}{b}"])
-    elif kind == 7:
+    elif kind in (7, 11, 12, 13):
         text = _pick(r, [f"02-{a[:3]}-{b}", f"(02) {a[:3]}-{b}", f"02){a[:3]}-{b}", f"031-{a[:3]}-{b}", f"(051) {a[:3]}-{b}", f"070-{a}-{b}"])
     elif kind == 8:
         text = _pick(r, [f"+1 202 555 {b}", f"(415) 555-{b}", f"303-555-{b}"])
