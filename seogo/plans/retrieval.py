@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.embedding import embed, sparse_features
 from ..functions.text import content_units, tokens
 from ..operators import retrieval as R
+from ..operators.evaluation import accepted_share, fitted_threshold, hit_rates
 from ..operators.filters import compile_where
 from ..operators.synonyms import DEFAULT_GROUPS, Synonyms
 from ..runtime import read_table, spread
@@ -171,25 +172,33 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_features(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "idx", _six("val"))
 
 
-def eval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per set: questions, found among the first 1 and 3, mean reciprocal rank, by the answer pattern."""
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(BM25 results with their texts, the best relevance of every question)"""
     docs, asked, index = _index(spark, sf_dir)
     best = R.ranked(R.bm25(index, asked).withColumn("score", F.round("score", 6)), "score", TOP)
-    items = read_table(spark, sf_dir, "eval_items").filter("expected_regex is not null").select(F.col("item_id").cast("string").alias("query_id"), "item_set", "expected_regex")
-    hits = best.join(docs.select("chunk_id", "text"), "chunk_id").join(items, "query_id").filter(F.expr("text rlike expected_regex")).groupBy("query_id").agg(F.min("rank").alias("first"))
-    each = items.join(hits, "query_id", "left")
-    share = lambda k: F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6)
-    return each.groupBy("item_set").agg(F.count("*").alias("questions"), share(1).alias("hit_1"), share(3).alias("hit_3"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    top = R.relevance(index, asked, best).groupBy("query_id").agg(F.round(F.max("relevance"), 6).alias("best"))
+    items = read_table(spark, sf_dir, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), "item_set", F.col("expected_regex").isNotNull().alias("answerable"))
+    return best.join(docs.select("chunk_id", "text"), "chunk_id"), items.join(top, "query_id", "left")
+
+
+def eval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per set: questions, found among the first 1 and 3, mean reciprocal rank, by the answer pattern."""
+    results, _ = _judged(spark, sf_dir)
+    items = read_table(spark, sf_dir, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), "item_set", "expected_regex")
+    return hit_rates(results, items).select("item_set", "questions", _six("hit_1"), _six("hit_3"), _six("mrr"))
+
+
+THRESHOLDS = [t / 10 for t in range(2, 8)]
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For thresholds of relevance: the share of questions with and without an answer that are accepted."""
-    _, asked, index = _index(spark, sf_dir)
-    best = R.ranked(R.bm25(index, asked).withColumn("score", F.round("score", 6)), "score", TOP)
-    top = R.relevance(index, asked, best).groupBy("query_id").agg(F.round(F.max("relevance"), 6).alias("best"))
-    items = read_table(spark, sf_dir, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), F.col("expected_regex").isNotNull().alias("answerable"))
-    each = items.join(top, "query_id", "left").withColumn("threshold", F.explode(F.array(*(F.lit(t / 10) for t in range(2, 8)))))
-    return each.groupBy("threshold", "answerable").agg(F.count("*").alias("questions"), F.round(F.avg(F.when(F.col("best") >= F.col("threshold"), 1.0).otherwise(0.0)), 6).alias("accepted"))
+    return accepted_share(_judged(spark, sf_dir)[1], THRESHOLDS).select("threshold", "answerable", "questions", _six("accepted"))
+
+
+def threshold_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold fitted on the sets dev and heldout, judged on test."""
+    return fitted_threshold(_judged(spark, sf_dir)[1], THRESHOLDS).select("threshold", _six("fitted"), _six("held_out"))
 
 
 def where_and_or_ne_nin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_counts, doc_length, df_idf, content_unit_stats, bm25_topk, bm25_where, synonym_bm25, synonym_expand, relevance_topk, coverage_topk, vector_topk, vector_topk_where,
-        similarity_lookup, rrf_fuse, fused_results, fused_only_relevant, fused_per_source, hybrid_search, hash_embed, eval_hits, threshold_sweep, where_and_or_ne_nin,
+        similarity_lookup, rrf_fuse, fused_results, fused_only_relevant, fused_per_source, hybrid_search, hash_embed, eval_hits, threshold_sweep, threshold_fit, where_and_or_ne_nin,
     )
 }
 
@@ -326,6 +335,9 @@ SELECT item_set, count(*) AS questions, round(avg(CASE WHEN first <= 1 THEN 1.0:
     "threshold_sweep": f"""WITH {_base()}, {_RANKED.format(k=10)}, {_RELEVANCE}, {_relevance_of('rel', 'best')}, top AS (SELECT query_id, max(relevance) AS best FROM rel GROUP BY ALL),
 each AS (SELECT i.expected_regex IS NOT NULL AS answerable, top.best, t / 10.0::DOUBLE AS threshold FROM eval_items i LEFT JOIN top ON top.query_id = CAST(i.item_id AS VARCHAR), range(2, 8) r(t))
 SELECT threshold, answerable, count(*) AS questions, round(avg(CASE WHEN best >= threshold THEN 1.0::DOUBLE ELSE 0 END), 6) AS accepted FROM each GROUP BY ALL""",
+    "threshold_fit": f"""WITH {_base()}, {_RANKED.format(k=10)}, {_RELEVANCE}, {_relevance_of('rel', 'best')}, top AS (SELECT query_id, max(relevance) AS best FROM rel GROUP BY ALL),
+each AS (SELECT item_set, t / 10.0::DOUBLE AS threshold, CASE WHEN (i.expected_regex IS NOT NULL) = coalesce(top.best >= t / 10.0::DOUBLE, FALSE) THEN 1.0::DOUBLE ELSE 0 END AS ok FROM eval_items i LEFT JOIN top ON top.query_id = CAST(i.item_id AS VARCHAR), range(2, 8) r(t))
+SELECT threshold, round(avg(ok) FILTER (item_set <> 'test'), 6) AS fitted, round(avg(ok) FILTER (item_set = 'test'), 6) AS held_out FROM each GROUP BY threshold ORDER BY avg(ok) FILTER (item_set <> 'test') DESC, threshold LIMIT 1""",
     "where_and_or_ne_nin": """SELECT doc_id FROM documents WHERE (coalesce(source_type = 'web', FALSE) OR NOT coalesce(lang IN ('ko', 'en'), FALSE))
   AND source IS DISTINCT FROM 'board-main' AND n_chars IS DISTINCT FROM 0""",
 }
