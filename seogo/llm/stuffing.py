@@ -229,9 +229,9 @@ def found_junk(documents: DataFrame, deviations: float = DEVIATIONS) -> DataFram
     lines (``JUNK_SHARE``); without any prose to compare with, all are abnormal. Pages without words are not flagged; an empty table gives an empty result.
     """
     scores = written(page_scores(documents), "p10-scores")
-    # one row each: the median of the pages' prose, and the median deviation from it
-    mid = scores.agg(F.percentile_approx("prose_perplexity", 0.5, 10000).alias("m"))
-    off = scores.crossJoin(F.broadcast(mid)).agg(F.percentile_approx(F.abs(F.col("prose_perplexity") - F.col("m")), 0.5, 10000).alias("d"), F.first("m").alias("m"))
-    odd = F.coalesce(F.abs(F.col("log_perplexity") - F.col("m")) > deviations * 1.4826 * F.col("d"), F.lit(True))
-    flagged = scores.crossJoin(F.broadcast(off)).filter(odd & (F.col("junk_words") > F.col("words") * JUNK_SHARE))
+    prose = F.col("prose_perplexity")
+    mid = scores.agg(F.percentile_approx(prose, 0.5, 10000)).first()[0]
+    spread = None if mid is None else scores.agg(F.percentile_approx(F.abs(prose - mid), 0.5, 10000)).first()[0]
+    odd = F.lit(True) if mid is None else F.abs(F.col("log_perplexity") - mid) > deviations * 1.4826 * spread
+    flagged = scores.filter(odd & (F.col("junk_words") > F.col("words") * JUNK_SHARE))
     return flagged.select("doc_id").distinct()
