@@ -3,6 +3,21 @@ import pytest
 from seogo import runtime
 
 
+class Conf:
+    def __init__(self, folder):
+        self.folder = folder
+
+    def get(self, key, default):
+        assert key == "spark.checkpoint.dir"
+        return self.folder
+
+class Session:
+    def __init__(self, folder, master):
+        self.conf = Conf(folder)
+        self.sparkContext = type("C", (), {"master": master, "applicationId": "x"})
+
+
+
 def test_written_tables_survive_their_source_and_can_be_forgotten(spark):
     df = runtime.written(spark.range(5).selectExpr("id", "cast(null as string) as n"), "t")
     assert df.count() == 5 and df.dtypes == [("id", "bigint"), ("n", "string")] and "seogo-t-" in df.inputFiles()[0]
@@ -11,20 +26,9 @@ def test_written_tables_survive_their_source_and_can_be_forgotten(spark):
 
 def test_shared_folder_is_read_from_the_session(spark, tmp_path):
     own = runtime.shared_folder(spark)
-    assert own.startswith("file://") and runtime.shared_folder(spark) == own
-
-    class Conf:
-        def __init__(self, folder):
-            self.folder = folder
-
-        def get(self, key, default):
-            assert key == "spark.checkpoint.dir"
-            return self.folder
-
-    class Session:
-        def __init__(self, folder, master):
-            self.conf = Conf(folder)
-            self.sparkContext = type("C", (), {"master": master, "applicationId": "x"})
+    assert own == (spark.conf.get("spark.checkpoint.dir", None) or own) and runtime.shared_folder(spark) == own
+    unset = runtime.shared_folder(Session(None, "local[2]"))
+    assert unset.startswith("file://") and runtime.shared_folder(Session(None, "local[2]")) == unset
 
     assert runtime.shared_folder(Session("hdfs://a/b/", "yarn")) == "hdfs://a/b"
     with pytest.raises(ValueError):
