@@ -34,7 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table is deleted when the driver ends, or by ``forget_written``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/seogo-{label}-{uuid.uuid4().hex}"
     writer = df.write
@@ -42,6 +45,8 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)  # the tables end with the driver
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,11 +55,16 @@ def forget_written(spark: SparkSession) -> int:
     them cannot be read any more, so call it between jobs. A shared folder keeps them otherwise."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _file_system(spark, path)
+        fs.delete(p, True)
     return len(paths)
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over at least as many tasks as there are cores, for stages that compute much per row.
 
