@@ -105,4 +105,22 @@ SELECT item_kind, item_id, max(CASE WHEN list_max(list_transform(
 FROM items GROUP BY item_kind, item_id
 """
 
-SQL: dict[str, str] = {"p2_found": _P2}
+# Similarity by counting shared runs of every pair that shares one.
+_P5 = """
+WITH t AS (SELECT DISTINCT chunk_id, list_filter(string_split_regex(lower(text), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1C}-\\x{1F}]+'), lambda w: w <> '') AS w FROM chunks),
+runs AS (SELECT DISTINCT chunk_id, hash(w[i], w[i + 1], w[i + 2]) AS r FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 40)),
+sizes AS (SELECT chunk_id, count(*) AS n FROM runs GROUP BY ALL),
+met AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM runs a JOIN runs b ON a.r = b.r AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM met JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE k >= 0.6 * (x.n + y.n - k)
+"""
+
+# Every window of 50 letters and digits of the items, looked up among those of the documents.
+_P9 = """
+WITH d AS (SELECT DISTINCT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS s FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS s FROM eval_items),
+dw AS (SELECT DISTINCT doc_id, substring(s, k, 50) AS w FROM (SELECT doc_id, s, unnest(range(1, length(s) - 48)) AS k FROM d WHERE length(s) >= 50)),
+iw AS (SELECT DISTINCT item_id, substring(s, k, 50) AS w FROM (SELECT item_id, s, unnest(range(1, length(s) - 48)) AS k FROM i WHERE length(s) >= 50))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)
+"""
+
+SQL: dict[str, str] = {"p2_found": _P2, "p5_found": _P5, "p9_found": _P9}
