@@ -1,7 +1,8 @@
 """Chunk tables on disk: one folder per knowledge base, versions inside it, a pointer to the current one.
 
 A change writes a new version and then moves the pointer, so readers see either the old or the new state,
-and nothing is overwritten while it is read. A lost job leaves the pointer where it was.
+and nothing is overwritten while it is read. A lost job leaves the pointer where it was. One writer at a time
+per knowledge base: of two at once the later pointer wins.
 """
 
 from __future__ import annotations
@@ -85,11 +86,19 @@ class ChunkStore:
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(pointer).encode("utf-8")))
         out.close()
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+        self._move_over(fresh, path)
         for old in versions[: -(KEPT_VERSIONS + 1)]:
             fs.delete(self._fs(f"{self._folder(kb_id)}/{old}")[1], True)
 
+    def _move_over(self, fresh, path) -> None:  # noqa: ANN001
+        """Replace the pointer in one step, so that readers never miss it."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        uri = path.getFileSystem(conf).makeQualified(path).toUri()
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, conf).rename(fresh, path, options)
+
     def _schema(self):  # noqa: ANN202
         from pyspark.sql.types import _parse_datatype_string
 
