@@ -36,7 +36,7 @@ _NUMBERS = "coalesce(try_cast(x[{}] AS INT), 0)"
 # Epoch numbers and offsets are direct; local times go through the zone rules, and of two instants the
 # earlier is the one whose local time an hour before is the same.
 SQL: dict[str, str] = {
-    "p7_found": f"""
+    "p7_found": rf"""
 WITH raw AS (SELECT chunk_id, 'sent_at' AS field_name, sent_at AS v, extra['tz'] AS tz FROM chunks UNION ALL SELECT chunk_id, 'created_at', created_at, extra['tz'] FROM chunks UNION ALL SELECT chunk_id, 'modified_at', modified_at, extra['tz'] FROM chunks),
 vals AS (SELECT DISTINCT chunk_id, field_name, trim(v) AS v, coalesce(tz, 'Asia/Seoul') AS tz FROM raw WHERE v IS NOT NULL),
 cut AS (SELECT *, string_split({_PARTS}, '|') AS x FROM vals),
