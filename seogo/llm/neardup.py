@@ -5,13 +5,15 @@ are as similar as ``t`` only if the Hamming distance of the vectors, the size of
 difference, is at most ``(1 - t) / (1 + t) * (|A| + |B|)``.
 
 1. Copies (equal token sequences) form classes; one member stands for its class.
-2. Candidates share one of ``BANDS`` bands of ``ROWS`` minimum hashes. A pair at the threshold of 0.6 is
-   missed with probability (1 - 0.6 ** 4) ** 40 = 4e-3, one at 0.65 with 4e-4, one at 0.7 with 2e-5. A
-   prefix filter would miss none, but gives 400 times as many candidates on text made of stock phrases.
+2. Candidates: the runs of a set are ordered from rare to common by a hashed count table of fixed size.
+   With ``m`` shared runs or more, the first shared run lies among the first ``n - m + 1`` of both sets
+   (prefix filter, exact for any order): ``m`` is at least ``2 t / (1 + t) n`` for the smaller set and
+   ``t n`` for the larger one. Only those prefixes are shuffled, packed by task and partition.
 3. Pivot distance tables: reference fingerprints are unions of 64 hash classes of runs. The Hamming
    distance of a set to every union follows from its 64 class counts, and the largest coordinate
    difference over all 2 ** 64 references is the sum of the absolute count differences. By the triangle
-   inequality it bounds the distance of two sets from below; pairs above the bound are discarded.
+   inequality it bounds the distance of two sets from below; pairs above the bound are discarded where
+   they arise, so that none of them is shuffled. Survivors pass the same bound with ``FINE`` classes.
 4. Survivors are verified on the sets themselves.
 """
 
@@ -29,9 +31,14 @@ from ..runtime import written
 from .pairs import FULL_CLASS, copy_links, expand_links
 
 THRESHOLD, RUN, LEAST_TOKENS = 0.6, 3, 40
-BANDS, ROWS = 40, 4
+#: Buckets of the count table, in slices; its size does not grow with the data. It orders runs, and any order is exact.
+BUCKETS, SLICES = 1 << 22, 64
+#: Pairs compared at once.
+BLOCK = 1 << 20
 #: Hash classes of runs; every union of them is a reference fingerprint.
 CLASSES = 64
+#: Classes of the second distance table, kept only for sets that have survivors.
+FINE = 1024
 _HASH_BITS = 48
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
@@ -84,106 +91,185 @@ def shingle_sets(texts: list[str], known: _TokenHashes, run: int = RUN, least: i
     return np.array(numbers), np.array(names, np.uint64).astype(np.int64), offsets, h.astype(np.int64)
 
 
-def class_counts(offsets: np.ndarray, runs: np.ndarray) -> np.ndarray:
+def class_counts(offsets: np.ndarray, runs: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Runs of each set by hash class, up to 255 (which keeps differences lower bounds)."""
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
-    counts = np.bincount(owner * CLASSES + (runs & (CLASSES - 1)), minlength=n * CLASSES)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(n, CLASSES)
+    counts = np.bincount(owner * classes + (runs & (classes - 1)), minlength=n * classes)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(n, classes)
 
 
-def band_hashes(offsets: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """One hash per set and band, of ``ROWS`` minimum hashes each."""
-    rng = np.random.default_rng(20240229)
-    keys = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.zeros((len(offsets) - 1, BANDS), np.uint64)
-    for lo in range(0, len(offsets) - 1, 1000):  # blocks that fit the processor's cache
-        at = offsets[lo : lo + 1001]
-        block, starts = runs[at[0] : at[-1]].astype(np.uint64), at[:-1] - at[0]
-        for band in range(BANDS):
-            sig = np.full(len(starts), band, np.uint64)
-            for key in keys[band * ROWS : (band + 1) * ROWS]:
-                sig = _mixed(sig * _K[0] + np.minimum.reduceat(block * key, starts))
-            out[lo : lo + len(starts), band] = sig
-    return out.astype(np.int64)
+_SETS = "doc bigint, chunk_id string, first boolean, slice int, counts binary"
+_SETS_ARROW = pa.schema([("doc", pa.int64()), ("chunk_id", pa.string()), ("first", pa.bool_()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
-_SETS = "doc bigint, chunk_id string, n int, counts binary, bands array<bigint>"
-_SETS_ARROW = pa.schema([("doc", pa.int64()), ("chunk_id", pa.string()), ("n", pa.int32()), ("counts", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def _bucket(runs: np.ndarray) -> np.ndarray:
+    return (runs >> 6) & (BUCKETS - 1)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, seen = _TokenHashes(), set()
+    """A row per set; then, without a set, the task's counts of runs by bucket, a row per slice."""
+    known, seen, total = _TokenHashes(), set(), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         numbers, classes, offsets, runs = shingle_sets(batch.column(1).to_pylist(), known)
         # a copy of a set of the same task keeps its class only
         first = np.array([c not in seen and not seen.add(c) for c in classes.tolist()], bool)
-        counts = class_counts(offsets, runs)
-        bands = band_hashes(offsets, runs)[first]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(classes), batch.column(0).take(pa.array(numbers, pa.int64())), pa.array(np.diff(offsets).astype(np.int32)),
-                pa.array([c.tobytes() if f else None for c, f in zip(counts, first, strict=True)], pa.binary()),
-                pa.ListArray.from_arrays(_offsets(np.where(first, BANDS, 0)), pa.array(bands.ravel())),
-            ],
-            schema=_SETS_ARROW,
-        )
+        total += np.bincount(_bucket(runs[np.repeat(first, np.diff(offsets))]), minlength=BUCKETS)
+        ids, none = batch.column(0).take(pa.array(numbers, pa.int64())), pa.nulls(len(numbers))
+        yield pa.RecordBatch.from_arrays([pa.array(classes), ids, pa.array(first), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SETS_ARROW)
+    if seen:
+        slices = [_compressed(x.astype(np.uint32)) for x in total.reshape(SLICES, -1)]
+        none = pa.nulls(SLICES)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.bool_()), pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], schema=_SETS_ARROW)
 
 
-def _offsets(sizes: np.ndarray) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+def _compressed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, doc), one per h and doc where another doc has the same h.
+def _restored(x: bytes, dtype: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, n * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype)
 
-    Holds one row between batches; copies of one class, which may arrive from several tasks, count once.
-    """
-    held: pa.RecordBatch | None = None  # a last row that may yet meet its like
-    open_h = last = None  # the h of a last row that was given out; the last (h, doc)
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (slice, counts) of all tasks: (slice, rank of each bucket, a byte that grows with its count)."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        if last is not None:
-            fresh[0] = (h[0], doc[0]) != last
-        last = (h[-1], doc[-1])
-        batch = batch.filter(pa.array(fresh))
-        if not batch.num_rows:
-            continue
-        h = h[fresh]
-        same = h[1:] == h[:-1]
-        joins_held = held is not None and held.column(0)[0].as_py() == h[0]
-        before = np.concatenate([[joins_held or open_h == h[0]], same])
-        keep = before | np.concatenate([same, [False]])
-        if joins_held:
-            yield held
-        yield batch.filter(pa.array(keep))
-        held = None if keep[-1] else batch.slice(batch.num_rows - 1)
-        open_h = h[-1] if keep[-1] else None
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[k] = total.get(k, 0) + _restored(x, np.uint32, BUCKETS // SLICES).astype(np.int64)
+    ranks = [np.where(x < 128, x, np.minimum(128 + 8 * np.log2(np.maximum(x, 128) / 128), 255)).astype(np.uint8).tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["slice", "ranks"])
+
+
+def prefix_lengths(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many first runs a set of ``n`` needs to meet smaller sets, and larger ones."""
+    long, short = (n - np.ceil(f * n - 1e-9).astype(np.int64) + 1 for f in (threshold, 2 * threshold / (1 + threshold)))
+    return long, short
+
+
+_PACKED = "part int, docs int, rows int, doc binary, n binary, counts binary, h binary, owner binary, place binary"
+_PACKED_ARROW = pa.schema([("part", pa.int32()), ("docs", pa.int32()), ("rows", pa.int32()), *((c, pa.binary()) for c in ("doc", "n", "counts", "h", "owner", "place"))])
+
+
+def _prefixes(ranks, threshold: float, parts: int):  # noqa: ANN001, ANN202
+    """Prefixes of the sets of a batch, as a row per partition that has each set's class counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known, seen = np.frombuffer(ranks.value, np.uint8), _TokenHashes(), set()
+        for batch in batches:
+            _, classes, offsets, runs = shingle_sets(batch.column(0).to_pylist(), known)
+            first = np.array([c not in seen and not seen.add(c) for c in classes.tolist()], bool)
+            if not first.any():
+                continue
+            counts, sizes = class_counts(offsets, runs)[first], np.diff(offsets)
+            classes, runs, sizes = classes[first], runs[np.repeat(first, sizes)], sizes[first]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((runs, table[_bucket(runs)], owner))  # owners stay in place
+            place = np.arange(len(runs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            take = place < np.repeat(prefix_lengths(sizes, threshold)[0], sizes)
+            h, owner, place = runs[order][take], owner[take], place[take]
+            part = h % parts
+            order = np.lexsort((h, part))
+            h, owner, place, at = h[order], owner[order], place[order], np.searchsorted(part[order], np.arange(parts + 1))
+            rows = []
+            for p in np.flatnonzero(np.diff(at)):
+                cut = slice(at[p], at[p + 1])
+                docs, local = np.unique(owner[cut], return_inverse=True)
+                steps = np.diff(h[cut] // parts, prepend=0)
+                arrays = (classes[docs], sizes[docs].astype(np.int32), counts[docs], steps, local.astype(np.int32), place[cut].astype(np.int32))
+                rows.append((int(p), len(docs), len(local), *map(_compressed, arrays)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED_ARROW, strict=True)], schema=_PACKED_ARROW)
+
+    return run
+
+
+def _allowed(x: np.ndarray, y: np.ndarray, both: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pivot distances allow the threshold; ``both`` is the sum of the sizes."""
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64) <= (1 - threshold) / (1 + threshold) * both + 1e-9
 
 
-def _near(threshold: float):  # noqa: ANN202
-    """Of (a, b, counts and sizes of both), the pairs whose pivot distances allow the threshold."""
+def _finer(threshold: float):  # noqa: ANN202
+    """Of (a, b, sum of sizes, fine counts of both), the pairs that the second distance table allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for k in (2, 3))
-            na, nb = batch.column(4).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
-            far = np.abs(x - y).sum(1)
-            keep = far <= (1 - threshold) / (1 + threshold) * (na + nb) + 1e-9
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            for k in range(0, batch.num_rows, 2000):
+                cut = batch.slice(k, 2000)
+                x, y = (np.stack([_restored(c, np.uint8, FINE) for c in cut.column(j).to_pylist()]) for j in (3, 4))
+                keep = _allowed(x, y, cut.column(2).to_numpy(), threshold)
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
+def _near(threshold: float, parts: int):  # noqa: ANN202
+    """Of all packed prefixes of a partition, the pairs that share a run of theirs and whose sizes, places
+    and pivot distances allow the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, entries, before = [], [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                d, k = r["docs"], r["rows"]
+                tables.append((_restored(r["doc"], np.int64, d), _restored(r["n"], np.int32, d), _restored(r["counts"], np.uint8, d * CLASSES).reshape(d, CLASSES)))
+                entries.append((np.cumsum(_restored(r["h"], np.int64, k)) * parts + r["part"], _restored(r["owner"], np.int32, k) + np.int32(before), _restored(r["place"], np.int32, k)))
+                before += d
+        if not tables:
+            return
+        doc, size, counts = (np.concatenate(c) for c in zip(*tables, strict=True))
+        h, owner, place = (np.concatenate(c) for c in zip(*entries, strict=True))
+        del tables, entries
+        order = np.lexsort((doc[owner], size[owner], h))
+        h, owner, place = h[order], owner[order], place[order]
+        fresh = np.ones(len(h), bool)  # copies of a class may arrive from several tasks
+        fresh[1:] = (h[1:] != h[:-1]) | (doc[owner[1:]] != doc[owner[:-1]])
+        h, owner, place = h[fresh], owner[fresh], place[fresh]
+        n = size[owner].astype(np.int64)
+        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) << 32
+        short = place < prefix_lengths(n, threshold)[1]
+        small = np.flatnonzero(short)
+        # each row meets the short prefixes of its group that come before it and are not too small
+        lo = np.searchsorted((group + n)[small], group + np.ceil(threshold * n - 1e-9).astype(np.int64))
+        ends = np.concatenate([[0], np.cumsum(np.maximum(np.cumsum(short) - short - lo, 0))])
+        found: list[np.ndarray] = []
+        for start in range(0, int(ends[-1]), BLOCK):
+            stop = min(start + BLOCK, int(ends[-1]))
+            j0, j1 = int(np.searchsorted(ends, start, "right")) - 1, int(np.searchsorted(ends, stop))
+            y = np.repeat(np.arange(j0, j1), np.minimum(ends[j0 + 1 : j1 + 1], stop) - np.maximum(ends[j0:j1], start))
+            x = small[lo[y] + np.arange(start, stop) - ends[y]]
+            both = n[x] + n[y]
+            least = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+            can = np.flatnonzero((n[x] - place[x] >= least) & (n[y] - place[y] >= least))
+            u, v, both = owner[x[can]], owner[y[can]], both[can]
+            keep = _allowed(counts[u], counts[v], both, threshold)
+            a, b = doc[u[keep]], doc[v[keep]]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+            if sum(map(len, found)) > 4 * BLOCK:
+                yield from _pairs(found)
+                found = []
+        if found:
+            yield from _pairs(found)
+
+    return run
+
+
+def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    pairs = np.unique(np.concatenate(found), axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _TokenHashes()
     for batch in batches:
         numbers, classes, offsets, runs = shingle_sets(batch.column(0).to_pylist(), known)
-        yield pa.RecordBatch.from_arrays([pa.array(classes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(runs))], names=["doc", "runs"])
+        for k in range(0, len(numbers), 1000):  # fine counts are wide
+            at = offsets[k : k + 1001]
+            mine = runs[at[0] : at[-1]]
+            fine = pa.array([_compressed(x) for x in class_counts(at - at[0], mine, FINE)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(classes[k : k + 1000]), pa.array(np.diff(at)), fine, pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(mine))],
+                names=["doc", "n", "fine", "runs"],
+            )
 
 
 def _verified(threshold: float):  # noqa: ANN202
@@ -212,21 +298,23 @@ def similar_sets(chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     spark = chunks.sparkSession
     texts = chunks.select(F.col("chunk_id").cast("string"), F.col("text").cast("string")).filter("chunk_id is not null and text is not null")
     sets = written(texts.mapInArrow(_sets, _SETS), "p5-sets")
-    held = sets.filter("counts is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = held.select(F.explode("bands").alias("h"), "doc").repartition(parts, "h").sortWithinPartitions("h", "doc")
-    shared = written(rows.mapInArrow(_shared, "h bigint, doc bigint"), "p5-shared")
-    tables = held.select("doc", "counts", "n").dropDuplicates(["doc"])
-    known = shared.join(tables, "doc").select("h", "doc", "counts", "n")
-    x, y = (known.select("h", F.col("doc").alias(c), F.col("counts").alias("c" + c), F.col("n").alias("n" + c)) for c in "ab")
-    # pairs are discarded where they arise; only survivors are shuffled
-    met = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9))
-    near = written(met.select("a", "b", "ca", "cb", "na", "nb").mapInArrow(_near(threshold), "a bigint, b bigint").distinct(), "p5-near")
+    slices = sets.filter("slice is not null").select("slice", "counts").repartition(min(parts, SLICES), "slice")
+    table = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
+    for r in slices.mapInArrow(_summed, "slice int, ranks binary").collect():  # a byte per bucket
+        table[r.slice] = np.frombuffer(r.ranks, np.uint8)
+    sets = sets.filter("slice is null")
+    ranks = spark.sparkContext.broadcast(table.tobytes())
+    packed = texts.select("text").mapInArrow(_prefixes(ranks, threshold, parts), _PACKED).repartitionById(parts, F.col("part"))
+    near = written(packed.mapInArrow(_near(threshold, parts), "a bigint, b bigint").distinct(), "p5-near")
     # the sets of survivors are made again from their texts: cheaper than keeping all sets
-    named = _those(held.select("doc", "chunk_id"), _ends(near)).dropDuplicates(["doc"]).select("chunk_id")
-    full = written(_those(texts, named, "chunk_id").select("text").mapInArrow(_runs_of, "doc bigint, runs array<bigint>").dropDuplicates(["doc"]), "p5-runs")
+    named = _those(sets.filter("first").select("doc", "chunk_id"), _ends(near)).dropDuplicates(["doc"]).select("chunk_id")
+    full = written(_those(texts, named, "chunk_id").select("text").mapInArrow(_runs_of, "doc bigint, n bigint, fine binary, runs array<bigint>").dropDuplicates(["doc"]), "p5-runs")
+    ta, tb = (full.select(F.col("doc").alias(c), F.col("n").alias("n" + c), F.col("fine").alias("f" + c)) for c in "ab")
+    met = near.join(ta, "a").join(tb, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "fa", "fb")
+    close = written(met.mapInArrow(_finer(threshold), "a bigint, b bigint"), "p5-close")
     fa, fb = (full.select(F.col("doc").alias(c), F.col("runs").alias("r" + c)) for c in "ab")
-    sure = near.join(fa, "a").join(fb, "b").select("a", "b", "ra", "rb").mapInArrow(_verified(threshold), "a bigint, b bigint")
+    sure = close.join(fa, "a").join(fb, "b").select("a", "b", "ra", "rb").mapInArrow(_verified(threshold), "a bigint, b bigint")
     return sure.select(F.col("a").alias("class_a"), F.col("b").alias("class_b")), sets.select(F.col("doc").alias("cls"), F.col("chunk_id").alias("id")).distinct()
 
 
