@@ -216,3 +216,11 @@ def test_native_twins_agree(spark):
     assert got[:-1] == [L.detect_link_type(u, s) for u in urls[:-1]]
     ok = [r[0] for r in df.select(T.url_allowed(F.col("u"), ["corp.example"])).collect()]
     assert ok == [True] + [False] * 6
+
+
+def test_large_plain_files_are_read_to_their_end():
+    from seogo.sources.plain import parse_code, parse_delimited, parse_text
+
+    body = ("x" * 999 + "\n") * 21_000  # over 20 MB
+    for parse, name in ((parse_text, "a.txt"), (parse_delimited, "a.csv"), (parse_code, "a.py")):
+        assert "the_end" in parse(name, (body + "the_end").encode()).blocks[-1].text
