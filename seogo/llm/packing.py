@@ -4,9 +4,11 @@
    numbers its pieces within their size class.
 2. The histogram over size classes (at most ``CLASSES`` rows) goes to the driver. A configuration linear
    program over it, one variable per way to fill a container, is solved by multiplicative weights: sizes
-   that lag behind gain weight, and a knapsack dynamic program prices the best next configuration.
-3. The fractional solution is rounded down; what is left over (a few items per configuration, whatever
-   the data's size) is packed by best fit.
+   that lag behind gain weight, and a knapsack dynamic program prices the best next configuration. A
+   configuration is used until one of its sizes is used up, so the solution covers the whole histogram
+   with at most as many configurations as classes.
+3. The fractional solution is rounded down; what is left over (less than one container per
+   configuration, whatever the data's size) is packed by best fit.
 4. The plan, a table of rank intervals per class, goes to the tasks: rank within class (counts of earlier
    tasks plus number within the task) gives the container. No group is ever collected.
 """
@@ -29,7 +31,7 @@ CAPACITY, CLASSES = 4096, 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How a text is split before merges, as the vocabulary's makers state it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ROUNDS, RATE, STEP = 700, 4.0, 0.12
+RATE = 4.0
 
 _PIECES = "doc_id bigint, piece_no int, size int, cls int, task int, place bigint"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece_no", pa.int32()), ("size", pa.int32()), ("cls", pa.int32()), ("task", pa.int32()), ("place", pa.int64())])
@@ -75,10 +77,10 @@ def best_configuration(value: np.ndarray, classes: int) -> np.ndarray:
     items = np.flatnonzero(value > 0)
     best, take = np.zeros(classes + 1), np.zeros(classes + 1, np.int64)
     worth = value[items]
+    fitting = np.searchsorted(items, np.arange(classes + 1), "right").tolist()
     for room in range(1, classes + 1):
-        upto = int(np.searchsorted(items, room, "right"))
         best[room], take[room] = best[room - 1], 0
-        if upto:
+        if upto := fitting[room]:
             got = best[room - items[:upto]] + worth[:upto]
             k = int(got.argmax())
             if got[k] > best[room]:
@@ -98,31 +100,29 @@ def solve(histogram: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
     classes = len(histogram) - 1
     need = histogram.astype(float)
     need[0] = 0
-    covered = np.zeros(classes + 1)
+    left = need.copy()
     size = np.arange(classes + 1) / classes
     patterns: dict[bytes, int] = {}
     found: list[np.ndarray] = []
     number: list[float] = []
-    for _ in range(ROUNDS):
-        open_ = need - covered > 1e-9
-        if not open_.any():
-            break
-        lag = np.where(open_, np.exp(RATE * (1 - covered / np.maximum(need, 1))), 0)
-        # close to size, so that configurations stay full; a little more for what lags behind
-        value = np.where(open_, size * (1 + 0.05 * lag / lag.max()), 0)
+    while (open_ := left > 0).any():  # each round closes a class
+        lag = np.where(open_, np.exp(RATE * left / np.maximum(need, 1)), 0)
+        # close to size, so that configurations stay full; a little more for what lags behind, and for
+        # large sizes, as small ones fill the last containers better
+        value = np.where(open_, size * (1 + 0.05 * lag / lag.max() + 0.02 * size), 0)
         p = best_configuration(value, classes)
-        used = p > 0
-        if not used.any():
-            break
-        room = ((need - covered)[used] / p[used]).min()
-        step = max(min(room, STEP * (need[used] / p[used]).min()), min(room, 1.0))
+        used = np.flatnonzero(p)
+        room = left[used] / p[used]
+        step = float(room.min())
         key = p.tobytes()
         if key not in patterns:
             patterns[key] = len(found)
             found.append(p)
             number.append(0.0)
         number[patterns[key]] += step
-        covered += step * p
+        left -= step * p
+        left[used[room.argmin()]] = 0
+        left[left < 1e-6] = 0
     return found, number
 
 

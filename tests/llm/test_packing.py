@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seogo.llm.packing import TOKENIZER, best_configuration, best_fit, packed, packing_report, plan
+from seogo.llm.packing import TOKENIZER, best_configuration, best_fit, packed, packing_report, plan, solve
 
 
 def test_knapsack_is_optimal():
@@ -65,3 +65,12 @@ def test_documents(spark):
     assert packed(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         packed(df, capacity=1000, classes=300)
+
+
+def test_configurations_cover_the_whole_histogram():
+    rng = np.random.default_rng(3)
+    h = np.bincount(np.clip(rng.lognormal(4.6, 0.8, 100_000).astype(int), 1, 512), minlength=513)
+    found, number = solve(h)
+    assert np.abs(sum(x * p for p, x in zip(found, number, strict=True)) - h).max() < 0.01 and len(found) <= 512
+    rounded = sum(int(x + 1e-9) * p for p, x in zip(found, number, strict=True))
+    assert (rounded <= h).all() and rounded.sum() > 0.95 * h.sum()
