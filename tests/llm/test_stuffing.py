@@ -1,6 +1,7 @@
 import random
 
-from seogo.llm.stuffing import analyse, found_junk, page_scores
+from seogo.llm import stuffing
+from seogo.llm.stuffing import class_sequence, found_junk, genre, page_scores
 
 TEAMS = ["총무팀", "재무팀", "인사팀", "감사실", "홍보실", "연구지원실"]
 
@@ -32,17 +33,44 @@ def junk(r, n):
     return " | ".join(f"{r.choice(words)} {r.choice(['가격', '후기', '비교'])}" for _ in range(70))
 
 
-def test_pages(spark, rows):
+def test_pages(spark):
     r = random.Random(4)
-    pages = [(n, honest(r, n)) for n in range(200)] + [(1000 + n, junk(r, n)) for n in range(16)] + [(5000, None), (5001, ""), (5002, "   "), (1000, None)]
-    df = spark.createDataFrame([(*p, "x") for p in pages], "doc_id bigint, text string, words string").repartition(4)
-    got = {x.doc_id for x in found_junk(df.union(df)).collect()}
+    pages = [(n, honest(r, n)) for n in range(300)] + [(1000 + n, junk(r, n)) for n in range(16)] + [(5000, None), (5001, ""), (5002, "   "), (1000, None)]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "doc_id bigint, text string, seq string").repartition(4)
+    # 300 pages made of four sentences spread wider around their median than a large table: fewer deviations tell them apart
+    got = {x.doc_id for x in found_junk(df.union(df), deviations=6).collect()}
     assert got == set(range(1000, 1016)), (sorted(got ^ set(range(1000, 1016))))
-    assert page_scores(df).filter("words = 0 and log_perplexity is not null").count() == 0
-    assert found_junk(df.limit(0)).count() == 0
+    scores = page_scores(df)
+    assert scores.filter("doc_id in (5000, 5001, 5002) and excess is not null").count() == 0 and scores.count() == df.count()
+    assert found_junk(df.limit(0)).count() == 0 and found_junk(df.filter("text is null")).count() == 0
+
+
+def test_the_perplexity_decides(spark, monkeypatch):
+    r = random.Random(4)
+    pages = [(n, honest(r, n)) for n in range(300)] + [(1000 + n, junk(r, n)) for n in range(16)]
+    df = spark.createDataFrame(pages, "doc_id bigint, text string").repartition(4)
+
+    class Uniform(stuffing.Models):
+        def __init__(self, counts):
+            super().__init__(counts)
+            self.tables, self.usual = 0 * self.tables + 3.0, 0 * self.usual + 3.0  # all classes alike
+
+    monkeypatch.setattr(stuffing, "Models", Uniform)
+    assert found_junk(df, deviations=6).count() == 0
 
 
 def test_long_page_and_classes():
-    seq, bad, total = analyse("요금 정산 " * 300_000)
-    assert bad > 0.99 * total and total == 600_000 and seq.endswith("/")
-    assert analyse("") == ("", 0, 0)
+    seq = class_sequence("요금 정산 " * 300_000)
+    assert len(seq) == 600_000 and seq.endswith("QQQQ")
+    assert class_sequence("") == "" and class_sequence("\n \n") == ""
+    assert genre("HtCHlf.") == 0 and genre("NHHC") == 1 and genre("HKHK") == 2
+    assert genre("HHU") is None and genre("QQQQQQf.") is None
+
+
+def test_scores_of_pages_do_not_depend_on_their_neighbours():
+    models = stuffing.Models(stuffing.np.arange(len(stuffing.GENRES) * len(stuffing.ALPHABET) ** 3) % 7)
+    pages = ["HtC.", "", "QQQQ/UUU", "H" * 100, "N"]
+    alone = [x for p in pages for x in zip(*stuffing.log_perplexities(models, [p]), strict=True)]
+    together = list(zip(*stuffing.log_perplexities(models, pages), strict=True))
+    assert together[1] == alone[1] == (None, None)
+    assert all(abs(a - b) < 1e-9 for x, y in zip(alone, together, strict=True) for a, b in zip(x, y, strict=True) if a is not None)
