@@ -3,9 +3,10 @@
 Records are cut into segments (lines, sentences, quoted names); segments made of everyday characters
 are left alone. For the others a multinomial classifier over hashed byte bigrams names the exact
 chain of encodings. It is trained on the spot: a bounded sample of the data's own clean segments is
-garbled with every chain. The named chain is inverted; a segment counts as restored if every step
-decodes strictly and the result reads like the clean sample. Chains that lose bytes are recognised
-by the classifier and their replacement characters and give no restored text.
+garbled with every chain. Classes are taken in the order of their likelihood: where clean text comes
+first, the segment is clean; a chain is inverted, and if every step decodes strictly and the result reads
+like the clean sample, that is the restored text; else the chain cannot have made the segment and the next
+likely class is asked. Chains that lose bytes leave replacement characters and give no restored text.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .arrowmap import map_batches
 #: Rows of the training sample, taken by smallest hash of the text; bounds the driver's work.
 TRAIN_ROWS = 1500
 FEATURES = 1 << 14
-#: How many of the most likely chains are tried.
-TRIES = 4
+#: A chain must be likelier than clean text by this much (natural logarithm of the ratio).
+MARGIN = 6.0
 
 # Fixed values: (written in, read as) steps; two pairs are two mistakes in a row. Mistakes between two
 # one-byte encodings are left out: any text can be taken back through them, so nothing verifies them.
@@ -43,6 +44,8 @@ HONEST = [
     "文档编号，由档案室保存五年，借阅须登记。请在周五之前提交报告，谢谢。", "保管期限 管理番號 擔當 部署 第三號 文書 年度", "Ρυθμίσεις για το αρχείο και τον κατάλογο.", "東京都の会議資料を確認してください。ありがとうございます。",
     "El año próximo, señor, la reunión será más corta; ¿verdad? ¡Sí!", "São Paulo, coração, informação e organização não são iguais.", "Příliš žluťoučký kůň úpěl ďábelské ódy. Zażółć gęślą jaźń.",
     "±2°C, 49 m², ×2, £776 ¥2631 ½ ¼ ¾ µm § ¶ © ® ™", "ÆRØ ÇELIK ÅNGSTRÖM ÑANDÚ ŒUVRE", "İstanbul, güneş, çağrı, öğrenci, şehir.", "Tiếng Việt: cộng hòa, độc lập, tự do, hạnh phúc.",
+    "│ │ ││ │││ ┃ ┃┃ ║ ║║ ─── ━━━ ═══ ┌─┐ └─┘ ├─┤", "Fіrѕt cорy оf thе МК ВЕТА МАХ, оutdаted jоb frоm thе dеѕk; НОМЕ, СТОР, КРЕТ.",
+    "Ｐrüfblatt ＭＫ-００００１９４, Ｓchlüssel ２８. Ａugust ２０２５, ＡＢＣ－１２３４５６７８９（ＩＴ）： ｆｕｌｌ ｗｉｄｔｈ",
 ]
 
 _EVERYDAY = re.compile("[\t\n\r\x20-\x7e가-힣äöüÄÖÜß–—‘’“”„…·•※☎✉→■▶★◆▲●○□△◇☆~€]*")
@@ -51,16 +54,17 @@ _SPLIT = re.compile("(\n|(?<=[.!?…]) |['\"])")
 _WORDS = re.compile("[ \t]+")
 
 
+# Bytes of cp1252 without a character keep their number, as browsers do.
+_FROM_1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_TO_1252 = {**{b: 0xFFFF for b in _FROM_1252}, **{ord(c): b for b, c in _FROM_1252.items()}}
+
+
 def _decode(data: bytes, codec: str, errors: str = "strict") -> str:
-    if codec == "cp1252":  # bytes without a character keep their number, as browsers do
-        return data.decode("cp1252", errors="replace" if errors == "strict" else errors) if not any(b in data for b in b"\x81\x8d\x8f\x90\x9d") else "".join(bytes([b]).decode("latin-1") if b in b"\x81\x8d\x8f\x90\x9d" else bytes([b]).decode("cp1252") for b in data)
-    return data.decode(codec, errors)
+    return data.decode("latin-1").translate(_FROM_1252) if codec == "cp1252" else data.decode(codec, errors)
 
 
 def _encode(text: str, codec: str) -> bytes:
-    if codec == "cp1252":
-        return "".join(chr(ord(c)) if c in "\x81\x8d\x8f\x90\x9d" else c for c in text).encode("cp1252") if not re.search("[\x80-\x9f]", text) else b"".join(c.encode("latin-1") if "\x80" <= c <= "\x9f" else c.encode("cp1252") for c in text)
-    return text.encode(codec)
+    return text.translate(_TO_1252).encode("latin-1") if codec == "cp1252" else text.encode(codec)
 
 
 def garble(text: str, chain: tuple) -> str | None:
@@ -77,55 +81,70 @@ def invert(text: str, chain: tuple) -> str | None:
     """The text before ``chain``, if every step back decodes strictly."""
     for written, read in reversed(chain):
         try:
-            text = _encode(text, read).decode("cp1252" if written == "cp1252" else written)
+            text = _decode(_encode(text, read), written)
         except UnicodeError:
             return None
     return text
 
 
 def suspicious(segment: str) -> bool:
-    return not _EVERYDAY.fullmatch(segment) or bool(_SANDWICH.search(segment))
+    """Holds unusual characters; marks alone, without a letter beyond ASCII, are layout and no text."""
+    if _EVERYDAY.fullmatch(segment):
+        return bool(_SANDWICH.search(segment))
+    return "�" in segment or any(c.isalpha() and not c.isascii() or "\x80" <= c <= "\x9f" for c in segment)
+
+
+def _garbled(segments: list[str], chain: tuple) -> list[str]:
+    """What ``chain`` makes of segments (without line feeds) that it changes at all; decoded in one go."""
+    now = segments
+    for written, read in chain:
+        data = []
+        for x in now:
+            try:
+                data.append(_encode(x, written))
+            except UnicodeError:
+                continue
+        now = _decode(b"\n".join(data), read, "replace").split("\n") if data else []
+    same = set(segments)
+    return [x for x in now if x not in same]
+
 
+def _grams(data: bytes) -> np.ndarray:
+    """Hashed byte bigrams with a byte beyond ASCII; line feeds part segments."""
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    a, b = raw[:-1], raw[1:]
+    gram = (a * 256 + b)[((a > 127) | (b > 127)) & (a != 10) & (b != 10)]
+    return (gram * 40503 >> 2) % FEATURES
 
-@lru_cache(maxsize=1 << 16)
-def _features(segment: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(segment.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
-    if len(raw) < 2:
-        return np.zeros(0, np.int64), np.zeros(0)
-    gram = raw[:-1] * 256 + raw[1:]
-    gram = gram[(raw[:-1] > 127) | (raw[1:] > 127)]
-    return np.unique((gram * 40503 >> 2) % FEATURES, return_counts=True)
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 class ChainModel:
-    """Multinomial naive Bayes over hashed byte bigrams; class 0 is clean text."""
+    """Multinomial naive Bayes over hashed byte bigrams; class 0 is clean text.
+
+    ``honest`` are further segments of the clean class, counted ``weight`` times each.
+    """
 
-    def __init__(self, samples: list[str]) -> None:
+    def __init__(self, samples: list[str], honest: list[str] = HONEST, weight: int = 20) -> None:
         segments = list(dict.fromkeys(s for t in samples for s in _SPLIT.split(t) if s and not s.isascii() and len(s) > 2))
         clean = [s for s in segments if not suspicious(s)]
         odd = [s for s in segments if suspicious(s) and "�" not in s and all(invert(s, c) is None for c in CHAINS)]
         syllables = Counter(ch for s in clean for ch in set(s) if "가" <= ch <= "힣")
         self.common = frozenset(ch for ch, n in syllables.items() if n >= 2)
-        counts = np.full((len(CHAINS) + 1, FEATURES), 0.05)
-        for s in clean + odd + HONEST * 20:
-            ids, n = _features(s)
-            counts[0, ids] += n
-        self.lossy = np.zeros(len(CHAINS) + 1, bool)
-        for k, chain in enumerate(CHAINS, 1):
-            lost = 0
-            for s in clean:
-                if (g := garble(s, chain)) is None or g == s:
-                    continue
-                lost += "�" in g
-                ids, n = _features(g)
-                counts[k, ids] += n
-            self.lossy[k] = lost > 0
-        self.table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
-
-    def ranked(self, segment: str) -> tuple[np.ndarray, np.ndarray]:
-        ids, n = _features(segment)
-        score = self.table[:, ids] @ n
-        return np.argsort(-score, kind="stable"), score
+        counts = [np.bincount(_grams(_bytes("\n".join(clean + odd))), minlength=FEATURES) + weight * np.bincount(_grams(_bytes("\n".join(honest))), minlength=FEATURES)]
+        counts += [np.bincount(_grams(_bytes("\n".join(_garbled(clean, chain)))), minlength=FEATURES) for chain in CHAINS]
+        smooth = np.stack(counts) + 0.05
+        self.table = np.log(smooth / smooth.sum(1, keepdims=True)).astype(np.float32)
+
+    @lru_cache(maxsize=1 << 14)  # noqa: B019
+    def ranked(self, segment: str) -> list[int]:
+        """Classes from the likeliest on, as far as they beat clean text by ``MARGIN``, then 0."""
+        score = self.table[:, _grams(_bytes(segment))].sum(1)
+        score[0] += MARGIN
+        order = np.argsort(-score, kind="stable").tolist()
+        return order[: order.index(0) + 1]
 
     def plausible(self, text: str, known: float = 0.75) -> bool:
         """Reads like clean text: syllables of which this share is known, letters, no controls or
@@ -140,21 +159,15 @@ class ChainModel:
 
     def examine(self, segment: str) -> tuple[bool, str | None, str]:
         """(garbled, restored text, chain) of one suspicious segment."""
-        order, _ = self.ranked(segment)
-        odd = [c for c in segment if not _EVERYDAY.fullmatch(c)] or _SANDWICH.findall(segment) * 2
-        if "�" in segment:
-            best = next((int(k) for k in order if k and self.lossy[k]), 0)
-            # strange bigrams say little where most is lost; the marks themselves do
-            return True, None, _name(best)
-        for k in order[:TRIES]:
+        for k in self.ranked(segment):
             if k == 0:
-                continue
+                break
+            if "�" in segment:
+                return True, None, _name(k)
             chain = CHAINS[k - 1]
-            if len(odd) < (4 if chain[0][0] == "cp949" else 2):  # two marks may happen to be one syllable
-                continue
             back = invert(segment, chain)
             if back is not None and back != segment and self.plausible(back, 0.0 if chain[0][0] == "utf-8" else 0.75):
-                return True, back, _name(int(k))
+                return True, back, _name(k)
         return False, None, ""
 
 
@@ -200,9 +213,17 @@ def repair(model: ChainModel, text: str) -> tuple[bool, str | None, str]:
 
 
 def _sample(texts: DataFrame, rows: int) -> list[str]:
-    """Texts with the smallest hashes, at most ``rows``: a fixed, bounded training sample."""
-    got = texts.select("text").filter(F.length("text") > 2).distinct().orderBy(F.xxhash64("text"), "text").limit(rows)
-    return [r.text for r in got.collect()]
+    """Texts with the smallest hashes, about ``rows``: a fixed, bounded training sample.
+
+    A share of the range of hashes is read that holds four times as many rows if they are all different, so that
+    no more than these are ever shuffled; a text stored in a third of all rows counts once.
+    """
+    n = texts.count()
+    h = F.xxhash64("text")
+    got = texts.select("text").filter(F.length("text") > 2)
+    if n > 4 * rows:
+        got = got.filter(h <= F.lit(-(1 << 63) + (1 << 64) * 4 * rows // n))
+    return [r.text for r in got.distinct().orderBy(h, "text").limit(rows).collect()]
 
 
 def repaired(df: DataFrame, keys: list[str], text: str, train: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -231,10 +252,10 @@ def repaired(df: DataFrame, keys: list[str], text: str, train: DataFrame | None
 
 
 def garbled_records(blocks: DataFrame, parts: DataFrame) -> DataFrame:
-    """(item_kind, item_id, text) of block texts and single warnings."""
+    """(item_kind, item_id, text) of block texts and single warnings; rows that come twice come out twice."""
     b = blocks.select(F.lit("block").alias("item_kind"), F.col("block_id").cast("string").alias("item_id"), "text")
     w = parts.select(F.lit("warning").alias("item_kind"), F.col("part_id").cast("string").alias("item_id"), F.explode("warnings").alias("text"))
-    return b.unionByName(w).filter("text is not null").distinct()
+    return b.unionByName(w).filter("text is not null")
 
 
 def found_garbled(blocks: DataFrame, parts: DataFrame) -> DataFrame:

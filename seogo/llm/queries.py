@@ -64,7 +64,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = garbled_records(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "parts"))
-    return repaired(records, ["item_kind", "item_id"], "text").filter("garbled")
+    return repaired(records, ["item_kind", "item_id"], "text").filter("garbled").distinct()
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

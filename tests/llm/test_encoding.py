@@ -52,3 +52,29 @@ def test_tables(spark, rows):
     assert found_garbled(b.limit(0), p.limit(0)).count() == 0
     out = repaired(b.select("block_id", "text"), ["block_id"], "text").filter("garbled").collect()
     assert [(r.block_id, r.restored) for r in out] == [(len(CLEAN), CLEAN[0])]
+
+
+def test_the_classifier_decides(model):
+    """With the classes' tables in another order, garbled text is no longer found or put right."""
+    import copy
+
+    import numpy as np
+
+    bad = [b for c in CHAINS[:5] for t in CLEAN[:6] if (b := garble(t, c)) and b != t and "�" not in b]
+    assert len(bad) > 5 and all(repair(model, b)[0] for b in bad)
+    shuffled = copy.copy(model)
+    shuffled.table = np.roll(model.table, 1, axis=0)
+    ChainModel.ranked.cache_clear()
+    assert sum(shuffled.examine(b)[0] for b in bad) <= len(bad) / 2
+    ChainModel.ranked.cache_clear()
+
+
+def test_the_sample_can_say_that_replacement_marks_are_honest():
+    text = "The mark \ufffd stands for an unknown sign."
+    assert repair(ChainModel(CLEAN), text)[0]
+    ChainModel.ranked.cache_clear()
+    assert not repair(ChainModel(CLEAN, honest=[*HONEST, text], weight=5000), text)[0]
+
+
+def test_marks_alone_are_layout(model):
+    assert not any(repair(model, t)[0] for t in ("││ 인용한 줄", "┃┃", "═══ ※ ═══"))
