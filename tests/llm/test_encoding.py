@@ -73,7 +73,7 @@ def test_the_sample_can_say_that_replacement_marks_are_honest():
     text = "The mark \ufffd stands for an unknown sign."
     assert repair(ChainModel(CLEAN), text)[0]
     ChainModel.ranked.cache_clear()
-    assert not repair(ChainModel(CLEAN, honest=[*HONEST, text], weight=5000), text)[0]
+    assert not repair(ChainModel(CLEAN, honest=[text], weight=5000), text)[0]
 
 
 def test_marks_alone_are_layout(model):
