@@ -9,6 +9,9 @@ The lines of a mail, over all its blocks, are parsed by a recursive layout gramm
     forward   := divider [header fields] part                of a mail client, or an original-message line
     closing   := a closing formula on its own line
     tail      := (signature | device line | notice | quote | reply | forward | earlier mail)*
+                 a signature has no sentences, an earlier mail begins with a greeting or ends with a closing of its own;
+                 where other sentences follow a closing formula, or the sender's name stands below the next one, it was
+                 a request in the middle of the text, which goes on
 
 Everything is a tree of nodes; only authored leaves of the outermost part are serialised. What looks
 like layout inside authored text stays authored: menu paths with ">", rulers around figures, options
@@ -18,6 +21,7 @@ that start with "--", single fields such as "제목:".
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +35,12 @@ CLOSINGS = frozenset(
     "best regards|kind regards|regards|warm regards|best wishes|best|thanks|many thanks|thank you|cheers|sincerely|yours sincerely|"
     "viele grüße|mit freundlichen grüßen|beste grüße|freundliche grüße|herzliche grüße|mfg|vg|danke".split("|")
 )
+# How a mail begins.
+GREETING = re.compile(
+    r"^(?:안녕하(?:세요|십니까)|(?:늘|항상|매번) .{0,12}(?:많으십니다|감사|고맙)|수고(?:가)? (?:많|하)|\S+(?: \S+)?(?:님|선생님|팀장님|과장님|부장님),?(?: 안녕.*)?$|반갑습니다|바쁘신|답장이|.{0,12}연락드립니다|"
+    r"(?:hello|hi|dear|good (?:morning|afternoon|evening)|thanks for|thank you for|hope)\b|(?:hallo|guten (?:tag|morgen|abend)|liebe|sehr geehrte|danke für|vielen dank für)\w*\b)",
+    re.I,
+)
 # Patterns of lines that mail programs and organisations add.
 DEVICE = re.compile(r"^(?:(?:내|나의)? ?\S* ?(?:휴대전화|휴대폰|모바일|아이폰|스마트폰|핸드폰)\S*(?: 메일)?(?:에서| 앱에서)? (?:보냄|보냈습니다|발송됨)\.?|(?:sent|get|gesendet|von meinem)\b.{0,40}(?:phone|mobile|android|ipad|handy|outlook|mail app|gesendet)\S*\.?)$", re.I)
 NOTICE = re.compile(
@@ -41,7 +51,7 @@ NOTICE = re.compile(
 RULER = re.compile(r"^\s*(?:[-_=*~ㅡ─━—–#+.]{2,}|--\s?)\s*$")
 _FIELD = re.compile(r"^(보낸 ?사람|보낸 ?날짜|받는 ?사람|참조|숨은 ?참조|제목|발신(?:자|인)?|수신(?:자|인)?|일시|날짜|from|sent|date|to|cc|bcc|subject|von|gesendet|datum|an|betreff)\s*:\s*(.*)$", re.I)
 _SENDER_FIELD = re.compile(r"^(?:보낸 ?사람|발신(?:자|인)?|from|von)\s*:", re.I)
-_ORIGINAL = re.compile(r"^\s*[-_=]{2,}\s*(?:original message|forwarded message|original-?nachricht|weitergeleitete nachricht|ursprüngliche nachricht|원본 ?메시지|원본 ?메일|전달된 ?메시지|전달된 ?메일|원문|전달)\s*[-_=]{2,}\s*$|^\s*begin forwarded message:", re.I)
+_ORIGINAL = re.compile(r"^\s*[-_=]{2,}\s*(?:original message|forwarded message|original-?nachricht|weitergeleitete nachricht|ursprüngliche nachricht|원본 ?메시지|원본 ?메일|이전 ?메시지|이전 ?메일|previous message|earlier message|vorherige nachricht|전달된 ?메시지|전달된 ?메일|원문|전달)\s*[-_=]{2,}\s*$|^\s*begin forwarded message:", re.I)
 _INTRO = re.compile(
     r"^\s*(?:on\b.{4,200}\bwrote:?|am\b.{4,200}\bschrieb\b.{0,200}:?|.{0,120}\d.{0,120}님이 (?:작성|씀|쓴 글|작성함)\s*:?|.{0,120}\d.{0,120}\S+ ?님?(?:이|가) (?:쓴 글|작성)\s*:?|le\b.{4,200}\ba écrit\s*:)\s*$", re.I
 )
@@ -51,6 +61,8 @@ MARK = re.compile(r"^\s?(?:[>|»│┃¦]|&gt;)+ ?")
 _ONE_MARK = re.compile(r"^\s?(?:[>|»│┃¦]|&gt;) ?")
 _MENU = re.compile(r"\S > \S")
 _TABLE = re.compile(r"^\s*\|.*\|\s*$")
+_SENTENCE = re.compile(r"[.!?。…]\s*$")
+_POSTSCRIPT = re.compile(r"(?:추신|덧붙임|p\.? ?s\.?)\s*[:.)]", re.I)
 _END = re.compile(r"(?:[.!?。…:]|[)\]\"'”’])\s*$")
 
 #: Shortest line, without marks, that a mail program may have wrapped.
@@ -84,6 +96,7 @@ class _Parser:
 
     def __init__(self, lines: list[Line], texts: list[str], name: str, depth: int) -> None:
         self.lines, self.texts, self.name, self.depth, self.at = lines, texts, name, depth, 0
+        self.breaks: list[int] | None = None
 
     def more(self) -> bool:
         return self.at < len(self.lines)
@@ -164,7 +177,8 @@ class _Parser:
                     node.children.append(self.rest("earlier"))
             elif _closing(text):
                 node.children.append(self.take("closing"))
-                node.children.extend(self.tail())
+                if self.ends_here(self.at):
+                    node.children.extend(self.tail())
             elif DEVICE.match(text) or NOTICE.match(text):
                 node.children.append(self.take("device" if DEVICE.match(text) else "notice"))
             elif self.signature(self.at):
@@ -173,20 +187,42 @@ class _Parser:
                 node.children.append(self.take("authored"))
         return node
 
+    def stretch(self, k: int) -> list[str]:
+        """Lines from ``k`` up to the next quotation, introduction, device line or notice."""
+        if self.breaks is None:
+            self.breaks = [n for n, t in enumerate(map(str.strip, self.texts)) if self.marked(n) or DEVICE.match(t) or NOTICE.match(t) or self.introduction(n)]
+        at = bisect_left(self.breaks, k)
+        return [t.strip() for t in self.texts[k : self.breaks[at] if at < len(self.breaks) else None] if t.strip()]
+
+    def ends_here(self, k: int) -> bool:
+        """Whether what follows a closing at ``k`` is a tail and not more of the text."""
+        lines = self.stretch(k)
+        if not lines or RULER.match(lines[0]) or _POSTSCRIPT.match(lines[0]) or self.named(lines[0]):
+            return True
+        first = next((n for n, t in enumerate(lines) if _SENTENCE.search(t) or GREETING.match(t)), None)
+        if first is None or GREETING.match(lines[first]):
+            return True
+        # sentences without a greeting: an earlier mail has a closing of its own, and the sender's name is not below it
+        last = max((n for n, t in enumerate(lines) if _closing(t)), default=None)
+        return last is not None and not (last + 1 < len(lines) and (self.named(lines[last + 1]) or (RULER.match(lines[last + 1]) and last + 2 < len(lines) and self.named(lines[last + 2]))))
+
+    def named(self, text: str) -> bool:
+        return bool(self.name) and text.startswith(self.name)
+
     def signature(self, k: int) -> bool:
         """The sender's name, or a divider right above it, begins a signature before any closing."""
         if not self.name:
             return False
         text = self.texts[k].strip()
-        if text.startswith(self.name) and len(text) <= len(self.name) + 60 and k > 0 and k + 1 >= len(self.texts) - 8 and not _END.search(text):
-            return True
+        if text.startswith(self.name) and len(text) <= len(self.name) + 60 and k > 0 and not _END.search(text):
+            return not any(_SENTENCE.search(t) for t in self.stretch(k)[1:])
         return bool(RULER.match(text)) and k + 1 < len(self.texts) and self.texts[k + 1].strip().startswith(self.name)
 
     def tail(self) -> Iterator[Node]:
         """After the closing nothing is newly written: signature, notices, or an earlier mail."""
         while self.more():
             text = self.texts[self.at].strip()
-            if re.match(r"(?:추신|덧붙임|p\.? ?s\.?)\s*[:.)]", text, re.I):
+            if _POSTSCRIPT.match(text):
                 yield self.take("authored")
             elif self.marked(self.at):
                 yield self.quote()

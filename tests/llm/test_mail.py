@@ -52,3 +52,18 @@ def test_tables_with_repeats_nulls_and_other_types(spark, rows):
     assert got == [(10, 1), (2, 2), (3, 1)]
     assert rows(authored_texts(b, p)) == [(1, "새 글"), (2, "감사합니다.")]
     assert found_unwritten(b.limit(0), p).count() == 0 and found_unwritten(b, p.limit(0)).count() == 0
+
+
+def test_requests_in_the_middle_do_not_end_the_text():
+    assert own("새 글입니다.\n확인 부탁드립니다.\n그리고 내일 회의는 3시입니다.\n자료는 제가 가져갑니다.") == ["새 글입니다.", "확인 부탁드립니다.", "그리고 내일 회의는 3시입니다.", "자료는 제가 가져갑니다."]
+    assert own("A question.\nThanks\nOne more thing. The hall is closed.\nBest regards,\n김하나\n총무팀") == ["A question.", "Thanks", "One more thing. The hall is closed.", "Best regards,"]
+
+
+def test_name_above_a_long_quotation_is_a_signature():
+    quoted = "\n".join(f"> 옛 글 {k}입니다." for k in range(12))
+    assert own(f"새 글입니다.\n김하나 대리\nT. 02-000-0000\nOn Sat, Apr 5, 2025 at 1:57 PM 박둘 <a@b> wrote:\n{quoted}") == ["새 글입니다."]
+    assert own("일정을 맞추었습니다.\n김하나 외 두 명 참석\n회의는 3시에 시작합니다.") == ["일정을 맞추었습니다.", "김하나 외 두 명 참석", "회의는 3시에 시작합니다."]
+
+
+def test_many_closings_in_one_mail_stay_fast():
+    assert len(own("한 줄입니다.\n감사합니다.\n" * 20000)) > 0
