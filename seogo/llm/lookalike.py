@@ -1,7 +1,7 @@
 """One consistent form for text that looks the same (problem 4).
 
-Most text is stable: ASCII, precomposed Hangul, everyday punctuation. A quick check finds the
-runs of characters that a canonical form may change, widens each run by its boundary context (the
+Most text is stable: ASCII, precomposed Hangul, everyday punctuation. A quick check, derived from the
+quick-check properties of Unicode and the rules below, finds the runs of characters that a canonical form may change, widens each run by its boundary context (the
 starter before it and the combining marks after it), normalises only these segments and splices
 them between the unchanged stretches.
 
@@ -14,6 +14,7 @@ folded, dashes (en, em) are not hyphens, the number of spaces counts, and case i
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -42,11 +43,6 @@ MIDDLE_DOTS = "·∙⋅・･ㆍ‧᛫•"
 # Compatibility decompositions that look different from their result and are kept.
 KEPT_TAGS = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
 
-# Runs outside this class may change; the class holds only characters that canon_char() keeps.
-_STABLE = "\t\n\x20-\x7e가-힣一-鿿぀-ゖ゙゚ァ-ヺ–—‘’“”「」『』※→←↑↓─-╿■-◿☎✉°±²³×¹¿¡§¶«»£¥¢©®À-ÿ"
-_UNSTABLE = re.compile(f"[^{_STABLE}]+")
-
-
 @lru_cache(maxsize=1 << 16)
 def canon_char(ch: str) -> str:
     """The folded form of one character before composition; empty for invisible ones."""
@@ -71,6 +67,42 @@ def canon_char(ch: str) -> str:
     return ch
 
 
+# Ranges of common text that may be left alone; which of their characters really are stable is derived.
+_COMMON = "\t\n\x20~가힣一鿿぀ヿ–—‘”「』※※→→←←↑↓─╿■◿☎☎✉✉¡ÿ"
+
+
+def _composing() -> frozenset[str]:
+    """Characters that can compose with the one before them: their quick check is not an unconditional yes."""
+    found = set()
+    for code in range(sys.maxunicode + 1):
+        how = unicodedata.decomposition(chr(code))
+        if how and how[0] != "<" and " " in how:
+            found.add(chr(int(how.split()[1], 16)))
+    return frozenset(found)
+
+
+def _stable_class() -> str:
+    """A regular expression class of the common characters whose quick checks are all yes: already composed, starters,
+    composing with nothing before them, and kept by ``canon_char``."""
+    composing = _composing()
+    parts = ["\t\n"]
+    ranges = zip(_COMMON[2::2], _COMMON[3::2], strict=True)
+    for lo, hi in ranges:
+        start = None
+        for code in range(ord(lo), ord(hi) + 2):
+            ch = chr(code)
+            ok = code <= ord(hi) and unicodedata.is_normalized("NFC", ch) and not unicodedata.combining(ch) and ch not in composing and unicodedata.normalize("NFC", canon_char(ch)) == ch
+            if ok and start is None:
+                start = ch
+            elif not ok and start is not None:
+                parts.append(re.escape(start) + "-" + re.escape(chr(code - 1)))
+                start = None
+    return "".join(parts)
+
+
+_UNSTABLE = re.compile(f"[^{_stable_class()}]+")
+
+
 def _segment(text: str) -> str:
     """Canonical form of one segment together with its boundary context."""
     folded = unicodedata.normalize("NFC", "".join(map(canon_char, text)))
@@ -124,14 +156,8 @@ def _hashes():  # noqa: ANN202
     return run
 
 
-def found_lookalikes(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(item_kind, id_a, id_b): two items of one kind with equal canonical forms and different texts.
-
-    Texts are compared by 128-bit hashes. Null texts are no items; empty texts are like any other.
-    Rows that come twice count once. Block ids order as numbers, chunk ids as strings. Copies
-    of one string are a class: classes of up to ``pairs.FULL_CLASS`` items are expanded into all
-    pairs with other classes, larger ones are linked by their representative.
-    """
+def _lookalikes(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(grp, cls, id) of items in groups of one canonical form and at least two strings."""
     items = texts_of(blocks, chunks).filter(F.col("text").isNotNull())
     # hashed once; the steps below read it several times
     hashed = written(map_batches(items, _hashes, "item_kind string, item_id string, form binary, canon binary"), "p4-hashes")
@@ -140,7 +166,30 @@ def found_lookalikes(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     rows = hashed.join(groups, ["item_kind", "canon"], "left_semi").distinct()
     order = F.when(F.col("item_kind") == "block", F.lpad("item_id", 20, "0")).otherwise(F.col("item_id"))
     rows = rows.select(F.struct("item_kind", "canon").alias("grp"), F.struct("item_kind", "form").alias("cls"), F.struct("item_kind", order.alias("o"), "item_id").alias("id"))
+    return written(rows, "p4-rows")  # few, and read by each of the steps that follow
+
+
+def found_lookalikes(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(item_kind, id_a, id_b): two items of one kind with equal canonical forms and different texts.
+
+    Texts are compared by 128-bit hashes. Null texts are no items; empty texts are like any other.
+    Rows that come twice count once. Block ids order as numbers, chunk ids as strings. Copies
+    of one string are a class: classes of up to ``pairs.FULL_CLASS`` items are expanded into all
+    pairs with other classes, larger ones are linked by their representative; ``lookalike_members``
+    holds the class of every item.
+    """
+    rows = _lookalikes(blocks, chunks)
     classes = rows.select("grp", "cls").distinct()
     links = classes.select("grp", F.col("cls").alias("class_a")).join(classes.select("grp", F.col("cls").alias("class_b")), "grp").filter("class_a.form < class_b.form").select("class_a", "class_b")
     pairs = expand_links(links, rows.select("cls", "id"))
     return pairs.select(F.col("id_a.item_kind").alias("item_kind"), F.col("id_a.item_id").alias("id_a"), F.col("id_b.item_id").alias("id_b"))
+
+
+def lookalike_members(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(item_kind, item_id, class_id, group_id) of all items whose text another item shows with different characters.
+
+    A class has one string, a group one canonical form; both are named by hashes. Whatever ``found_lookalikes`` links
+    through a representative follows from here: two items of one group and different classes look the same.
+    """
+    rows = _lookalikes(blocks, chunks)
+    return rows.select(F.col("id.item_kind").alias("item_kind"), F.col("id.item_id").alias("item_id"), F.hex("cls.form").alias("class_id"), F.hex("grp.canon").alias("group_id"))

@@ -368,15 +368,15 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicate_groups(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(chunk_id, group_id, links): one row per chunk that has a class; groups are connected by links.
+    """(chunk_id, class_id, group_id, links): one row per chunk that has a class; groups are connected by links.
 
-    ``group_id`` is the smallest class name of the group, ``links`` the number of classes
-    similar to the chunk's own.
+    Classes and groups are named by their smallest chunk id, ``links`` is the number of classes similar to the chunk's
+    own. Whatever ``found_near_duplicates`` links through a representative follows from the classes given here.
     """
     links, members = similar_sets(chunks, threshold)
     links = written(links.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")), "p5-links")
     degree = links.select("u").union(links.select("v")).groupBy("u").agg(F.count("*").alias("links")).withColumnRenamed("u", "c")
-    group = components(links).select(F.col("node").alias("c"), "component")
-    m = members.select(F.col("cls").alias("c"), F.col("id").alias("chunk_id"))
-    out = m.join(group, "c", "left").join(degree, "c", "left")
-    return out.select("chunk_id", F.coalesce("component", "c").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    named = written(members.groupBy(F.col("cls").alias("c")).agg(F.min("id").alias("class_id")).join(components(links).select(F.col("node").alias("c"), "component"), "c", "left").join(degree, "c", "left"), "p5-classes")
+    groups = named.filter("component is not null").groupBy("component").agg(F.min("class_id").alias("group_id"))
+    classes = named.join(groups, "component", "left").select("c", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    return members.select(F.col("cls").alias("c"), F.col("id").alias("chunk_id")).join(classes, "c").select("chunk_id", "class_id", "group_id", "links")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import read_table, written
+from .arrowmap import texts_of
 from .encoding import found_garbled, garbled_records, repaired
 from .leakage import found_leaks, leaked_spans
-from .lookalike import canonical_texts, found_lookalikes
+from .lookalike import canonical_texts, found_lookalikes, lookalike_members
 from .mail import authored_texts, found_unwritten
 from .neardup import found_near_duplicates, near_duplicate_groups
 from .packing import packed, packing_check, packing_report
@@ -21,8 +22,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = read_table(spark, sf_dir, "chunks").select("chunk_id", "text").distinct()
-    return split_items(chunks, ["chunk_id"])
+    items = texts_of(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "chunks")).distinct()
+    return split_items(items, ["item_kind", "item_id"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,8 +31,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = read_table(spark, sf_dir, "chunks").select("chunk_id", "text")
-    return canonical_texts(chunks).select("chunk_id", "canonical").distinct()
+    items = texts_of(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "chunks"))
+    return canonical_texts(items).select("item_kind", "item_id", "canonical").distinct()
+
+
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_members(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "chunks"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +100,7 @@ def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_check(read_table(spark, sf_dir, "documents"), written(p8_containers(spark, sf_dir), "p8-containers"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_canonical": p4_canonical, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_restored": p6_restored, "p8_containers": p8_containers, "p8_report": p8_report, "p8_check": p8_check, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_canonical": p4_canonical, "p4_members": p4_members, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_restored": p6_restored, "p8_containers": p8_containers, "p8_report": p8_report, "p8_check": p8_check, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
 
 # Boundaries are line feeds and spaces after sentence marks; an item is forced if one of the
 # stretches between them is longer than the limit.
@@ -132,4 +137,18 @@ _P8 = """
 SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS missing, 0::BIGINT AS overfull, 0::BIGINT AS split_but_short FROM documents
 """
 
-SQL: dict[str, str] = {"p8_check": _P8, "p2_found": _P2, "p5_found": _P5, "p9_found": _P9}
+# Classes: equal token sequences; groups: what links of different classes reach.
+_P5_GROUPS = f"""
+WITH RECURSIVE pairs AS ({_P5.strip()}),
+tok AS (SELECT DISTINCT chunk_id, list_filter(string_split_regex(lower(text), '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{1C}}-\\x{{1F}}]+'), lambda w: w <> '') AS w FROM chunks),
+m AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY w) AS class_id FROM tok WHERE len(w) >= 40),
+e AS (SELECT DISTINCT x.class_id AS u, y.class_id AS v FROM pairs JOIN m x ON x.chunk_id = chunk_id_a JOIN m y ON y.chunk_id = chunk_id_b WHERE x.class_id <> y.class_id),
+both_ways AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach(u, v) AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u),
+grp AS (SELECT u, least(u, min(v)) AS group_id FROM reach GROUP BY u),
+deg AS (SELECT u, count(DISTINCT v) AS n FROM both_ways GROUP BY u)
+SELECT m.chunk_id, m.class_id, coalesce(grp.group_id, m.class_id) AS group_id, coalesce(deg.n, 0)::BIGINT AS links
+FROM m LEFT JOIN grp ON grp.u = m.class_id LEFT JOIN deg ON deg.u = m.class_id
+"""
+
+SQL: dict[str, str] = {"p5_groups": _P5_GROUPS, "p8_check": _P8, "p2_found": _P2, "p5_found": _P5, "p9_found": _P9}

@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seogo.llm.lookalike import canon_char, canonical, canonical_texts, found_lookalikes
+from seogo.llm.lookalike import canon_char, canonical, canonical_texts, found_lookalikes, lookalike_members
 
 SAME = ["Office ERP-01 한글 · ﬁle, 金年", "Оffice ЕRP‑01 한글 ∙ file, 金年", "Ｏｆｆｉｃｅ　ＥＲＰ－０１ 한글 ・ ﬁｌｅ， 金年", unicodedata.normalize("NFD", "Office\xa0ERP−01 한글 · file, 金年"), "Off​ice ERP-­01 ‎한﻿글 · file, 金年"]
 
@@ -44,3 +44,25 @@ def test_large_classes_are_linked_through_one_member(spark):
     pairs = {(int(r.id_a), int(r.id_b)) for r in got}
     assert pairs == {(i, 1000) for i in range(100)} | {(0, 1001)}
     assert canonical("ab" * 500_000) == "ab" * 500_000
+
+
+def test_every_composing_pair_has_one_form():
+    """Each canonical pair of the code table, decomposed and composed, and both after a stable stretch."""
+    import sys
+
+    from seogo.llm.lookalike import _UNSTABLE
+
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        how = unicodedata.decomposition(c)
+        if how and how[0] != "<":
+            apart = unicodedata.normalize("NFD", c)
+            assert canonical(apart) == canonical(c), hex(code)
+            assert canonical("가나 " + apart + " 끝") == canonical("가나 " + c + " 끝"), hex(code)
+    assert canonical("が") == "が" and _UNSTABLE.search("゙") and not _UNSTABLE.search("가힣 ASCII – 漢字 かな カナ ä")
+
+
+def test_members_name_classes_and_groups(spark):
+    b = spark.createDataFrame([(i, "ERP") for i in range(100)] + [(1000, "ЕRP"), (2000, "else")], "block_id bigint, text string")
+    got = lookalike_members(b, spark.createDataFrame([], "chunk_id string, text string")).collect()
+    assert len(got) == 101 and len({r.class_id for r in got}) == 2 and len({r.group_id for r in got}) == 1
