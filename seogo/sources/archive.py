@@ -33,7 +33,7 @@ def parse_zip(name: str, data: bytes, depth: int = 0) -> Part:
     part = Part(name, "zip")
     files = [i for i in archive.infolist() if not i.is_dir()]
     if len(files) > MOST_ENTRIES:
-        part.warnings.append(f"압축 안의 파일이 너무 많아 앞 {MOST_ENTRIES}개만 확인했습니다.")
+        part.warnings.append(f"entries beyond {MOST_ENTRIES} left out")
     total = 0
     for info in files[:MOST_ENTRIES]:
         path = PurePosixPath(entry_name(info))
@@ -41,17 +41,17 @@ def parse_zip(name: str, data: bytes, depth: int = 0) -> Part:
         if suffix == ".zip" or suffix not in PARSERS or any(p in SKIPPED or p.startswith(".") for p in path.parts):
             continue
         if info.file_size > MOST_ENTRY:
-            part.warnings.append(f"'{inside}' 은(는) 너무 커서 건너뛰었습니다.")
+            part.warnings.append(f"entry left out, too large: {inside}")
             continue
         total += info.file_size
         if total > MOST_TOTAL:
-            part.warnings.append("압축 해제 용량 제한(200MB)에 도달해 나머지 파일은 건너뛰었습니다.")
+            part.warnings.append("entries left out: the archive unpacks to more than 200 MB")
             break
         try:
             with archive.open(info) as f:
                 child = parse(inside, f.read(MOST_ENTRY + 1), depth=depth + 1)
         except (ParseError, zipfile.BadZipFile, RuntimeError) as e:
-            part.warnings.append(f"'{inside}' 을(를) 읽지 못했습니다: {e}")
+            part.warnings.append(f"entry not readable: {inside} ({e})")
             continue
         child.metadata.setdefault("parent_name", name)
         child.metadata.setdefault("path_in_archive", inside)

@@ -159,13 +159,13 @@ def parse_hwp(name: str, data: bytes) -> Part:
             try:
                 raw = zlib.decompress(raw, -15)
             except zlib.error:
-                part.warnings.append(f"{'/'.join(path)} 압축 해제에 실패했습니다.")
+                part.warnings.append(f"stream not inflatable: {'/'.join(path)}")
                 continue
         texts = (clean(paragraph(payload)) for tag, _, payload in records(raw) if tag == PARAGRAPH_TEXT)
         part.blocks += [Block(t) for t in texts if t]
     preview = clean((ole.read("PrvText") or b"").decode("utf-16-le", "replace")) if not part.blocks else ""
     if preview:
-        why = "배포용 문서라 본문이 암호화되어" if flags & 4 else "본문을 해석하지 못해"
-        part.warnings.append(f"{why} 미리보기 텍스트(앞부분 일부)만 추출했습니다.")
+        why = "the body is encrypted" if flags & 4 else "the body could not be read"
+        part.warnings.append(f"{why}: only the stored preview was read")
         part.blocks = [Block(p) for p in preview.split("\n") if p.strip()]
     return part

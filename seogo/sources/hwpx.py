@@ -118,6 +118,6 @@ def parse_hwpx(name: str, data: bytes) -> Part:
         preview = next((n for n in ("Preview/PrvText.txt", "Preview/PrvText") if n in book.package.names), None)
         text = clean(decode(book.package.zip.read(preview)[:MOST_PREVIEW])) if preview else ""
         if text:
-            part.warnings.append("본문 구조를 해석하지 못해 미리보기 텍스트로 대체했습니다.")
+            part.warnings.append("the body could not be read; the stored preview stands in for it")
             part.blocks = [Block(p) for p in text.split("\n\n") if p.strip()]
     return part

@@ -77,12 +77,12 @@ def _attachment(part: Part, attached, name: str) -> Part | None:  # noqa: ANN001
         return None
     data = attached.get_payload(decode=True) or b""
     if len(data) > MOST_ATTACHMENT:
-        part.warnings.append(f"첨부파일 '{name}' 이(가) 너무 커서 건너뛰었습니다.")
+        part.warnings.append(f"attachment left out, too large: {name}")
         return None
     try:
         return parse(name, data, depth=1)
     except ParseError as e:
-        part.warnings.append(f"첨부파일 '{name}' 을(를) 읽지 못했습니다: {e}")
+        part.warnings.append(f"attachment not readable: {name} ({e})")
         return None
 
 

@@ -232,7 +232,7 @@ def parse_xlsx(name: str, data: bytes) -> Part:
         part.blocks.append(Block(f"시트: {title}", "heading", 2, number, meta))
         part.blocks += table_blocks(rows[0], rows[1:], number, meta)
         if cut:
-            part.warnings.append(f"'{title}' 시트가 너무 커서 앞 {MOST_ROWS}행만 반영했습니다.")
+            part.warnings.append(f"sheet {title}: rows beyond {MOST_ROWS} left out")
     return part
 
 

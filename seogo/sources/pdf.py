@@ -100,5 +100,5 @@ def parse_pdf(name: str, data: bytes) -> Part:
     except Exception as e:
         raise ParseError("the PDF is protected by a password" if re.search("password|encrypt", str(e), re.I) else f"the PDF could not be read: {e}") from e
     if empty:
-        part.warnings.append("텍스트가 없는 페이지가 있습니다(스캔 이미지로 추정, OCR 필요): " + ", ".join(map(str, empty[:10])) + (" …" if len(empty) > 10 else ""))
+        part.warnings.append("pages without text, perhaps scanned: " + ", ".join(map(str, empty[:10])) + (" …" if len(empty) > 10 else ""))
     return part

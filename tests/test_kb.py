@@ -58,7 +58,7 @@ def test_errors_and_empty_documents(kb, tmp_path):
     (tmp_path / "big.txt").write_bytes(b"1" * 2048)
     with pytest.raises(ParseError):
         KnowledgeBase(kb.spark, "x", Settings.in_session(max_file_mb=0)).add_file(str(tmp_path / "big.txt"))
-    assert kb.add_text(" \n ", source_name="빈")["warnings"] == ["추출된 텍스트가 없습니다."]
+    assert kb.add_text(" \n ", source_name="빈")["warnings"] == ["no text was found"]
 
 
 def test_store_versions_upsert_and_embedder(kb):
