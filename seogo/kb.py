@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from datetime import datetime, timezone
 from typing import Any
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.embedding import Embedder, embed, get_embedder
-from .functions.text import citation, contextual_text
+from .functions.text import citation, content_units, contextual_text, tokens
 from .operators import retrieval as R
 from .operators.chunking import chunk_parts, with_metadata
 from .operators.filters import combined, compile_where
@@ -22,7 +23,7 @@ from .sources.model import PART_SCHEMA, Part, ParseError
 from .sources.plain import text_blocks
 from .store import ChunkStore
 
-#: Metadata shown for a source.
+# Metadata shown for a source, which callers read by these names.
 SOURCE_KEYS = ["url", "title", "author", "sender", "sender_name", "sent_at", "subject", "ingested_at", "space", "file_type"]
 
 
@@ -51,7 +52,7 @@ class KnowledgeBase:
         parts = written(parts, "parts")
         good = parts.filter("error is null")
         extras = {"ingested_at": _now(), **(metadata or {})}
-        chunks = with_metadata(chunk_parts(good, self.settings.chunk_size, self.settings.chunk_overlap), good, extras)
+        chunks = with_metadata(chunk_parts(good, self.settings.chunk_size, self.settings.chunk_overlap, self.settings.whole_chunks), good, extras)
         chunks = chunks.withColumn("ingested_at", F.lit(extras["ingested_at"])).withColumn("extra", F.map_filter("extra", lambda k, v: k != "ingested_at"))
         head = contextual_text(F.col("title"), F.col("file_name"), F.col("section"), F.col("subject"), F.col("text"))
         chunks = written(chunks.withColumn("embedding", embed(head, self.embedder)), "chunks")
@@ -60,7 +61,7 @@ class KnowledgeBase:
         near = parts.filter("depth <= 1").groupBy("source_id").agg(F.flatten(F.collect_list("warnings")).alias("w"), F.sum((F.col("depth") == 1).cast("int")).alias("attachment_count"))
         root = parts.filter("part_ordinal = 0").select("source_id", "source_name", "source_type", "error")
         out = root.join(near, "source_id", "left").join(counts, "source_id", "left").na.fill(0, ["chunk_count", "char_count", "attachment_count"])
-        empty = F.when((F.col("chunk_count") == 0) & F.col("error").isNull(), F.array(F.lit("추출된 텍스트가 없습니다."))).otherwise(F.array().cast("array<string>"))
+        empty = F.when((F.col("chunk_count") == 0) & F.col("error").isNull(), F.array(F.lit("no text was found"))).otherwise(F.array().cast("array<string>"))
         return out.select("source_id", "source_name", "source_type", "chunk_count", "char_count", "attachment_count", F.concat(F.coalesce("w", F.array().cast("array<string>")), empty).alias("warnings"), "error")
 
     def _one(self, part: Part, source_id: str | None, metadata: dict | None) -> dict[str, Any]:
@@ -95,14 +96,34 @@ class KnowledgeBase:
     # ------------------------------------------------------------------ search
 
     def index(self) -> R.Index:
-        """The inverted index of the current version, written once per version and synonym dictionary."""
+        """The inverted index of the current version. Its tables lie beside the layers of the store, each made once per
+        layer and synonym dictionary, so that a change is indexed in proportion to its size."""
         self.synonyms.refresh()
         key = (self.store.version(self.kb_id), self.synonyms.signature)
         if self._index is None or self._index[0] != key:
-            built = R.build_index(self._chunks(), self.synonyms)
-            self._index = (key, R.Index(**{name: written(getattr(built, name), name) for name in R.Index.NAMES}))
+            mark = hashlib.sha256(repr(self.synonyms.signature).encode()).hexdigest()[:8]
+
+            def table(name: str):  # noqa: ANN202
+                return self.store.united(self.kb_id, lambda layer: self.store.side_table(self.kb_id, layer, f"{name}-{mark}", lambda rows: self._apart(rows, name)))
+
+            kept = {name: table(name) for name in R.Index.KEPT}
+            if kept["lengths"] is None:
+                built = R.build_index(self._chunks(), self.synonyms)
+            else:
+                built = R.Index(**{name: rows.withColumn("kb_id", F.lit(self.kb_id)) for name, rows in kept.items()})
+            self._index = (key, built)
         return self._index[1]
 
+    def _apart(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows of one index table that chunks of a layer give."""
+        body = rows.select("source_id", "chunk_id", R.index_body(rows, self.synonyms).alias("body"))
+        if name == "units":
+            return body.select("source_id", "chunk_id", F.explode(content_units(F.col("body"))).alias("unit"))
+        items = body.select("source_id", "chunk_id", tokens(F.col("body")).alias("items"))
+        if name == "lengths":
+            return items.select("source_id", "chunk_id", F.size("items").cast("bigint").alias("length"))
+        return R.postings_of(items, "source_id", "chunk_id")
+
     def _chunks(self) -> DataFrame:
         return self.store.get(self.kb_id).withColumn("kb_id", F.lit(self.kb_id))
 

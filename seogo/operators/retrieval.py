@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,11 @@ from .synonyms import Synonyms
 
 K1, B, RRF_K = 1.4, 0.75, 60
 CONTEXT = ("file_name", "section", "subject", "title")
-#: Query vectors that a task holds at once; larger query sets run in several passes.
-QUERY_BLOCK = 1024
+#: Query vectors multiplied at once, and how many such blocks one scan of the vectors serves: 16,384 queries, 64 MB of
+#: a broadcast at 1,024 dimensions. Larger query sets take several scans.
+QUERY_BLOCK, BLOCKS = 1024, 16
+#: Weighted query terms up to this number are broadcast.
+BROADCAST_TERMS = 200_000
 
 
 def index_body(chunks: DataFrame, synonyms: Synonyms | None = None) -> Column:
@@ -35,11 +39,12 @@ def index_body(chunks: DataFrame, synonyms: Synonyms | None = None) -> Column:
 class Index:
     """Tables of an inverted index; ``kb_id`` and ``chunk_id`` name a chunk.
 
-    Texts are taken apart once per kind (tokens, units), when a table of that kind is first asked for; the
-    result is written and all tables of the kind are made from it. ``tables`` are ready-made ones.
+    ``postings`` (kb_id, chunk_id, token, tf, length), ``lengths`` (kb_id, chunk_id, length) and ``units`` (kb_id,
+    chunk_id, unit) belong to chunks and can be kept; frequencies and averages are derived from them. Texts
+    are taken apart once per kind (tokens, units), when a table of that kind is first asked for. ``tables`` are ready-made.
     """
 
-    NAMES = ("postings", "lengths", "token_df", "corpus", "units", "unit_df")
+    KEPT = ("postings", "lengths", "units")
 
     def __init__(self, body: DataFrame | None = None, **tables: DataFrame) -> None:
         self._body = body
@@ -54,12 +59,10 @@ class Index:
 
     @cached_property
     def postings(self) -> DataFrame:
-        """kb_id, chunk_id, token, tf"""
-        return self._tokens.select("kb_id", "chunk_id", F.explode("items").alias("token")).groupBy("kb_id", "chunk_id", "token").agg(F.count("*").alias("tf"))
+        return postings_of(self._tokens, "kb_id", "chunk_id")
 
     @cached_property
     def lengths(self) -> DataFrame:
-        """kb_id, chunk_id, length"""
         return self._tokens.select("kb_id", "chunk_id", F.size("items").cast("bigint").alias("length"))
 
     @cached_property
@@ -74,7 +77,6 @@ class Index:
 
     @cached_property
     def units(self) -> DataFrame:
-        """kb_id, chunk_id, unit"""
         return self._apart(content_units, "units").select("kb_id", "chunk_id", F.explode("items").alias("unit"))
 
     @cached_property
@@ -83,6 +85,12 @@ class Index:
         return self.units.groupBy("kb_id", "unit").agg(F.count("*").alias("df"))
 
 
+def postings_of(items: DataFrame, *keys: str) -> DataFrame:
+    """(keys, token, tf, length) of rows with the array ``items``."""
+    tokens_ = items.select(*keys, F.size("items").cast("bigint").alias("length"), F.explode("items").alias("token"))
+    return tokens_.groupBy(*keys, "token", "length").agg(F.count("*").alias("tf"))
+
+
 def build_index(chunks: DataFrame, synonyms: Synonyms | None = None) -> Index:
     """The index of chunks with columns chunk_id, text and, where present, kb_id and context fields."""
     kb = F.col("kb_id") if "kb_id" in chunks.columns else F.lit("default")
@@ -93,6 +101,12 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def _terms(rows: DataFrame) -> DataFrame:
+    """Weighted terms of a query set, broadcast if they were counted to be few; then no posting is shuffled and no
+    frequent token is a hot key. More are joined by shuffling, where skewed tokens are split at run time."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
+
+
 def bm25(index: Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, kb_id, chunk_id, score) of every chunk that has a token of the query.
 
@@ -102,11 +116,11 @@ def bm25(index: Index, queries: DataFrame, allowed: DataFrame | None = None) ->
     asked = queries.select("query_id", "kb_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     # only tokens that are asked for; as semi joins the optimizer moves them below the aggregations
     terms = asked.select("kb_id", "token").distinct()
-    weighted = asked.join(index.token_df.join(terms, ["kb_id", "token"], "left_semi"), ["kb_id", "token"]).join(index.corpus, "kb_id").select("query_id", "kb_id", "token", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
-    hits = index.postings.join(terms, ["kb_id", "token"], "left_semi").join(weighted, ["kb_id", "token"])
+    weighted = asked.join(index.token_df.join(terms, ["kb_id", "token"], "left_semi"), ["kb_id", "token"]).join(index.corpus, "kb_id")
+    weighted = written(weighted.select("query_id", "kb_id", "token", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")), "terms")
+    hits = index.postings.join(_terms(weighted), ["kb_id", "token"])
     if allowed is not None:
         hits = hits.join(allowed, ["kb_id", "chunk_id"], "left_semi")
-    hits = hits.join(index.lengths, ["kb_id", "chunk_id"])
     length = F.col("length") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1)
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
     return hits.groupBy("query_id", "kb_id", "chunk_id").agg(F.sum(part).alias("score"))
@@ -118,59 +132,69 @@ def ranked(scored: DataFrame, score: str, upto: int, name: str = "rank") -> Data
     return scored.withColumn(name, F.row_number().over(order)).filter(F.col(name) <= upto)
 
 
-def _block_topk(ids: list, kbs: list, matrix: np.ndarray, k: int):  # noqa: ANN202
+def _nearest_of(asked, k: int):  # noqa: ANN001, ANN202
+    """Of each batch of vectors, the ``k`` nearest to every query of the broadcast blocks (ids, kbs, matrix)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit = matrix / np.where(norms > 0, norms, 1)
-        of_kb: dict = {}
-        for q, kb in enumerate(kbs):
-            of_kb.setdefault(kb, []).append(q)
+        blocks = []
+        for ids, kbs, matrix in asked.value:
+            of_kb: dict = {}
+            for q, kb in enumerate(kbs):
+                of_kb.setdefault(kb, []).append(q)
+            blocks.append((ids, _unit(matrix.astype(np.float64)), of_kb))
         for batch in batches:
             v = batch.column(2)
-            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1) if len(v) else np.zeros((0, matrix.shape[1]))
-            size = np.linalg.norm(x, axis=1)
-            x = x / np.where(size > 0, size, 1)[:, None]
+            if not len(v):
+                continue
+            x = _unit(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1))
             kb_of, names = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-            out = []
-            for kb, numbers in of_kb.items():
-                rows = np.flatnonzero(kb_of == kb)
-                if not len(rows):
-                    continue
-                sims = unit[numbers] @ x[rows].T
-                for q, s in zip(numbers, sims, strict=True):
-                    top = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
-                    # everything that ties with the last one stays for the exact ranking
-                    top = np.flatnonzero(s >= s[top].min()) if len(top) else top
-                    out += [(ids[q], kb, names[rows[i]], float(s[i])) for i in top]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out], pa.float64())], names=["query_id", "kb_id", "chunk_id", "similarity"])
+            rows_of = {kb: np.flatnonzero(kb_of == kb) for kb in dict.fromkeys(kb_of.tolist())}
+            for ids, unit, of_kb in blocks:
+                out = []
+                for kb, numbers in of_kb.items():
+                    rows = rows_of.get(kb)
+                    if rows is None:
+                        continue
+                    for q, s in zip(numbers, unit[numbers] @ x[rows].T, strict=True):
+                        top = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
+                        # everything that ties with the last one stays for the exact ranking
+                        top = np.flatnonzero(s >= s[top].min()) if len(top) else top
+                        out += [(ids[q], kb, names[rows[i]], float(s[i])) for i in top]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string()), pa.array([r[3] for r in out], pa.float64())], names=["query_id", "kb_id", "chunk_id", "similarity"])
 
     return run
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norms > 0, norms, 1)
+
+
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, kb_id, chunk_id, similarity, rank): the ``k`` nearest by cosine, exact.
 
     ``vectors`` has kb_id, chunk_id, embedding; ``queries`` has query_id, kb_id, embedding (ids are
-    strings). The query set is read in blocks of ``QUERY_BLOCK`` vectors; each task multiplies a block with
-    its rows and keeps the best ``k`` of every batch, so only few rows are shuffled. A zero vector is at
-    similarity 0 to everything.
+    strings). One scan of the vectors serves ``BLOCKS`` blocks of ``QUERY_BLOCK`` queries, which are broadcast; each
+    task multiplies a block with a batch of its rows and keeps the best ``k``, so only few rows are shuffled. A zero
+    vector is at similarity 0 to everything.
     """
+    spark = vectors.sparkSession
     rows = vectors.select("kb_id", "chunk_id", "embedding")
     if allowed is not None:
         rows = rows.join(allowed, ["kb_id", "chunk_id"], "left_semi")
-    asked = queries.select("query_id", "kb_id", "embedding")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = written(queries.select("query_id", "kb_id", "embedding"), "asked")  # the embedder runs once
+    most = QUERY_BLOCK * BLOCKS
+    scans = max(1, -(-asked.count() // most))
     out = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = part.collect()
+    for scan in range(scans):
+        got = (asked if scans == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(scans)) == scan)).collect()  # about QUERY_BLOCK * BLOCKS rows
         if not got:
             continue
-        matrix = np.array([r.embedding for r in got], np.float64)
-        found = rows.mapInArrow(_block_topk([r.query_id for r in got], [r.kb_id for r in got], matrix, k), "query_id string, kb_id string, chunk_id string, similarity double")
+        blocks = [(*zip(*((r.query_id, r.kb_id) for r in b), strict=True), np.array([r.embedding for r in b], np.float32)) for b in batched(got, QUERY_BLOCK)]
+        found = rows.mapInArrow(_nearest_of(spark.sparkContext.broadcast(blocks), k), "query_id string, kb_id string, chunk_id string, similarity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return rows.sparkSession.createDataFrame([], "query_id string, kb_id string, chunk_id string, similarity double, rank int")
+        return spark.createDataFrame([], "query_id string, kb_id string, chunk_id string, similarity double, rank int")
     return ranked(out, "similarity", k)
 
 
@@ -198,10 +222,13 @@ def relevance(index: Index, queries: DataFrame, candidates: DataFrame) -> DataFr
     asked = queries.select("query_id", "kb_id", F.explode(content_units(F.col("query"))).alias("unit"))
     terms = asked.select("kb_id", "unit").distinct()
     weighted = asked.join(index.corpus.select("kb_id", "n"), "kb_id").join(index.unit_df.join(terms, ["kb_id", "unit"], "left_semi"), ["kb_id", "unit"], "left")
-    weighted = weighted.select("query_id", "kb_id", "unit", F.log(1 + F.col("n") / (F.coalesce(F.col("df"), F.lit(0)) + 0.5)).alias("w"))
+    weighted = written(weighted.select("query_id", "kb_id", "unit", F.log(1 + F.col("n") / (F.coalesce(F.col("df"), F.lit(0)) + 0.5)).alias("w")), "units")
     total = weighted.groupBy("query_id", "kb_id").agg(F.sum("w").alias("total"))
     wanted = candidates.select("query_id", "kb_id", "chunk_id").distinct()
-    had = wanted.join(weighted, ["query_id", "kb_id"]).join(index.units.join(terms, ["kb_id", "unit"], "left_semi"), ["kb_id", "chunk_id", "unit"], "left_semi").groupBy("query_id", "kb_id", "chunk_id").agg(F.sum("w").alias("had"))
+    # units of candidates only, then of those the ones that the chunk's query asks for
+    known = index.units.join(_terms(weighted.select("kb_id", "unit").distinct()), ["kb_id", "unit"], "left_semi")
+    met = known.join(wanted, ["kb_id", "chunk_id"]).join(weighted, ["query_id", "kb_id", "unit"])
+    had = met.dropDuplicates(["query_id", "kb_id", "chunk_id", "unit"]).groupBy("query_id", "kb_id", "chunk_id").agg(F.sum("w").alias("had"))
     out = wanted.join(total, ["query_id", "kb_id"], "left").join(had, ["query_id", "kb_id", "chunk_id"], "left")
     return out.select("query_id", "kb_id", "chunk_id", F.coalesce(F.col("had") / F.col("total"), F.lit(0.0)).alias("relevance"))
 

@@ -30,12 +30,14 @@ def _read(name: str, default, kind=str):  # noqa: ANN001, ANN202
 @dataclass
 class Settings:
     """``data_dir`` null keeps a knowledge base in the session only. ``synonyms``: path, null for the built-in
-    groups, or one of ``off none false 0`` and the empty string for none."""
+    groups, or one of ``off none false 0`` and the empty string for none. ``whole_chunks`` keeps the ends of long code
+    lines, table rows, headings and section paths, which chunks of the usual form leave out."""
 
     data_dir: str | None = _read("DATA_DIR", "./data/seogo")
     embedding: str = _read("EMBEDDING", "hash")
     chunk_size: int = _read("CHUNK_SIZE", 900, int)
     chunk_overlap: int = _read("CHUNK_OVERLAP", 150, int)
+    whole_chunks: bool = _read("WHOLE_CHUNKS", False, bool)
     max_file_mb: int = _read("MAX_FILE_MB", 50, int)
     min_relevance: float = _read("MIN_RELEVANCE", 0.4, float)
     synonyms: str | None = _read("SYNONYMS", None)
