@@ -21,7 +21,6 @@ that start with "--", single fields such as "제목:".
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -96,7 +95,7 @@ class _Parser:
 
     def __init__(self, lines: list[Line], texts: list[str], name: str, depth: int) -> None:
         self.lines, self.texts, self.name, self.depth, self.at = lines, texts, name, depth, 0
-        self.breaks: list[int] | None = None
+        self.known = (0, -1)  # a stretch without a break, as far as it was looked at
 
     def more(self) -> bool:
         return self.at < len(self.lines)
@@ -189,10 +188,17 @@ class _Parser:
 
     def stretch(self, k: int) -> list[str]:
         """Lines from ``k`` up to the next quotation, introduction, device line or notice."""
-        if self.breaks is None:
-            self.breaks = [n for n, t in enumerate(map(str.strip, self.texts)) if self.marked(n) or DEVICE.match(t) or NOTICE.match(t) or self.introduction(n)]
-        at = bisect_left(self.breaks, k)
-        return [t.strip() for t in self.texts[k : self.breaks[at] if at < len(self.breaks) else None] if t.strip()]
+        first, end = self.known
+        if not first <= k <= end:
+            end = k
+            while end < len(self.texts) and not self.breaks(end):
+                end += 1
+            self.known = k, end
+        return [t.strip() for t in self.texts[k:end] if t.strip()]
+
+    def breaks(self, k: int) -> bool:
+        text = self.texts[k].strip()
+        return bool(text) and bool(self.marked(k) or DEVICE.match(text) or NOTICE.match(text) or self.introduction(k))
 
     def ends_here(self, k: int) -> bool:
         """Whether what follows a closing at ``k`` is a tail and not more of the text."""
