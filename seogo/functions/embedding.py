@@ -145,4 +145,5 @@ def sparse_features(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataF
     entries = weights.select(key, (h % dim).cast("int").alias("idx"), (F.when(h >= 2**31, 1.0).otherwise(-1.0) * (1 + F.log("w"))).alias("v"))
     summed = entries.groupBy(key, "idx").agg(F.sum("v").alias("v"))
     norms = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return summed.join(norms, key).filter("v <> 0").select(key, "idx", (F.col("v") / F.col("norm")).alias("val"))
+    # what cancels out may leave a last digit
+    return summed.join(norms, key).filter("abs(v) > 1e-9").select(key, "idx", (F.col("v") / F.col("norm")).alias("val"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.embedding import Embedder, embed
+from ..runtime import spread
+from .retrieval import vector_search
+
 
 def hit_rates(ranked: DataFrame, questions: DataFrame, *, text: str = "text", by: str = "item_set") -> DataFrame:
     """Per value of ``by``: questions, shares with the answer among the first 1 and 3, mean reciprocal rank.
@@ -19,6 +25,18 @@ def hit_rates(ranked: DataFrame, questions: DataFrame, *, text: str = "text", by
     return each.groupBy(by).agg(F.count("*").alias("questions"), share(1).alias("hit_1"), share(3).alias("hit_3"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
+def compare_embedders(chunks: DataFrame, queries: DataFrame, questions: DataFrame, embedders: dict[str, Embedder], upto: int) -> DataFrame:
+    """Hit rates of exact vector search alone, per embedder: ``chunks`` has kb_id, chunk_id, text, ``queries`` has
+    query_id, kb_id, query, and ``questions`` is as in ``hit_rates``."""
+    out = []
+    for name, embedder in embedders.items():
+        vectors = spread(chunks.select("kb_id", "chunk_id", "text")).select("kb_id", "chunk_id", embed(F.col("text"), embedder).alias("embedding"))
+        near = vector_search(vectors, queries.select("query_id", "kb_id", embed(F.col("query"), embedder).alias("embedding")), upto)
+        found = near.join(chunks.select("kb_id", "chunk_id", "text"), ["kb_id", "chunk_id"])
+        out.append(hit_rates(found, questions).withColumn("embedder", F.lit(name)))
+    return reduce(DataFrame.unionByName, out)
+
+
 def with_thresholds(best: DataFrame, thresholds: list[float]) -> DataFrame:
     """Each question once per threshold with whether its best relevance reaches it (``best``; null: never)."""
     at = F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")

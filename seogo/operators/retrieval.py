@@ -132,7 +132,7 @@ def ranked(scored: DataFrame, score: str, upto: int, name: str = "rank") -> Data
     return scored.withColumn(name, F.row_number().over(order)).filter(F.col(name) <= upto)
 
 
-def _nearest_of(asked, k: int):  # noqa: ANN001, ANN202
+def _nearest_of(asked, k: int, digits: int | None):  # noqa: ANN001, ANN202
     """Of each batch of vectors, the ``k`` nearest to every query of the broadcast blocks (ids, kbs, matrix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,8 @@ def _nearest_of(asked, k: int):  # noqa: ANN001, ANN202
                     rows = rows_of.get(kb)
                     if rows is None:
                         continue
-                    for q, s in zip(numbers, unit[numbers] @ x[rows].T, strict=True):
+                    sims = unit[numbers] @ x[rows].T
+                    for q, s in zip(numbers, sims if digits is None else np.round(sims, digits), strict=True):
                         top = np.argpartition(-s, k - 1)[:k] if len(s) > k else np.arange(len(s))
                         # everything that ties with the last one stays for the exact ranking
                         top = np.flatnonzero(s >= s[top].min()) if len(top) else top
@@ -170,13 +171,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norms > 0, norms, 1)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, kb_id, chunk_id, similarity, rank): the ``k`` nearest by cosine, exact.
 
     ``vectors`` has kb_id, chunk_id, embedding; ``queries`` has query_id, kb_id, embedding (ids are
     strings). One scan of the vectors serves ``BLOCKS`` blocks of ``QUERY_BLOCK`` queries, which are broadcast; each
     task multiplies a block with a batch of its rows and keeps the best ``k``, so only few rows are shuffled. A zero
-    vector is at similarity 0 to everything.
+    vector is at similarity 0 to everything. With ``digits`` similarities are rounded before they are ranked, so that
+    copies tie and ranks do not depend on the order of summation.
     """
     spark = vectors.sparkSession
     rows = vectors.select("kb_id", "chunk_id", "embedding")
@@ -191,7 +193,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, allowed: DataF
         if not got:
             continue
         blocks = [(*zip(*((r.query_id, r.kb_id) for r in b), strict=True), np.array([r.embedding for r in b], np.float32)) for b in batched(got, QUERY_BLOCK)]
-        found = rows.mapInArrow(_nearest_of(spark.sparkContext.broadcast(blocks), k), "query_id string, kb_id string, chunk_id string, similarity double")
+        found = rows.mapInArrow(_nearest_of(spark.sparkContext.broadcast(blocks), k, digits), "query_id string, kb_id string, chunk_id string, similarity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "query_id string, kb_id string, chunk_id string, similarity double, rank int")

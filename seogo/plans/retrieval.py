@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.embedding import embed, sparse_features
+from ..functions.embedding import HashingEmbedder, embed, sparse_features
 from ..functions.text import content_units, tokens
 from ..operators import retrieval as R
-from ..operators.evaluation import accepted_share, fitted_threshold, hit_rates
+from ..operators.evaluation import accepted_share, compare_embedders, fitted_threshold, hit_rates
 from ..operators.filters import compile_where
 from ..operators.synonyms import DEFAULT_GROUPS, Synonyms
-from ..runtime import read_table, spread
+from ..runtime import kept, read_table, spread, written
 
-TOP = 10
+TOP, POOL = 10, 20
 
 
 def as_chunks(documents: DataFrame) -> DataFrame:
@@ -31,8 +31,16 @@ def questions(items: DataFrame) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str, synonyms: Synonyms | None = None) -> tuple[DataFrame, DataFrame, R.Index]:
+    """Chunks, questions and the index, whose tables are made once a session and data folder."""
     docs = as_chunks(read_table(spark, sf_dir, "documents"))
-    return docs, questions(read_table(spark, sf_dir, "eval_items")), R.build_index(docs, synonyms)
+    built = R.build_index(docs, synonyms)
+    ready = R.Index(**{name: kept(docs, f"{name}{'-synonyms' if synonyms else ''}", lambda name=name: getattr(built, name)) for name in R.Index.KEPT})
+    return docs, questions(read_table(spark, sf_dir, "eval_items")), ready
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index made anew: postings with lengths."""
+    return R.build_index(as_chunks(read_table(spark, sf_dir, "documents"))).postings.select("chunk_id", "token", "tf", "length")
 
 
 def _six(c: str):  # noqa: ANN202
@@ -124,10 +132,10 @@ def similarity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, R.Index, DataFrame]:
     """Two rankings of the same candidates: by BM25 and by relevance, as stand-ins of the search legs."""
     docs, asked, index = _index(spark, sf_dir)
-    by_score = R.ranked(R.bm25(index, asked).withColumn("score", F.round("score", 6)), "score", 4 * TOP)
+    by_score = written(R.ranked(R.bm25(index, asked).withColumn("score", F.round("score", 6)), "score", 4 * TOP), "by-score")
     rel = R.relevance(index, asked, by_score).withColumn("relevance", F.round("relevance", 6))
     by_rel = R.ranked(rel, "relevance", 2 * TOP)
-    fused = R.fuse([by_score, by_rel]).withColumn("fused", F.round("fused", 9))
+    fused = written(R.fuse([by_score, by_rel]).withColumn("fused", F.round("fused", 9)), "fused")
     return docs, asked, index, fused
 
 
@@ -155,19 +163,42 @@ def fused_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused_results(spark, sf_dir, per_source_limit=1)
 
 
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search: hashed vectors and BM25, fused, with relevance and display scores."""
+def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, R.Index, DataFrame]:
+    """The legs of the search, fused: hashed vectors (kept as a table, as a knowledge base keeps them) and BM25."""
     docs, asked, index = _index(spark, sf_dir)
-    pool = max(4 * 5, 20)
     head = F.concat_ws("\n", F.when(F.col("title") != "", F.col("title")), F.col("text"))
-    vectors = spread(docs.select("kb_id", "chunk_id", head.alias("head"))).select("kb_id", "chunk_id", embed(F.col("head")).alias("embedding"))
-    near = R.vector_search(vectors, asked.select("query_id", "kb_id", embed(F.col("query")).alias("embedding")), pool)
-    words = R.ranked(R.bm25(index, asked), "score", pool)
-    fused = R.fuse([near, words])
+    vectors = kept(docs, "vectors", lambda: spread(docs.select("kb_id", "chunk_id", head.alias("head"))).select("kb_id", "chunk_id", embed(F.col("head")).alias("embedding")))
+    near = R.vector_search(vectors, asked.select("query_id", "kb_id", embed(F.col("query")).alias("embedding")), POOL, digits=5)
+    words = R.ranked(R.bm25(index, asked).withColumn("score", F.round("score", 6)), "score", POOL)
+    return docs, asked, index, written(R.fuse([near, words]).withColumn("fused", F.round("fused", 9)), "fused")
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search: hashed vectors and BM25, fused, with relevance."""
+    docs, asked, index, fused = _hybrid(spark, sf_dir)
     out = R.finish(fused, R.relevance(index, asked, fused), docs, asked, top_k=5)
     return out.select("query_id", F.col("position").cast("bigint").alias("position"), "chunk_id", _six("fused"), _six("relevance"), "relevant")
 
 
+def eval_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit rates of the whole search by set of questions."""
+    docs, asked, index, fused = _hybrid(spark, sf_dir)
+    found = R.finish(fused, R.relevance(index, asked, fused), docs, asked, top_k=TOP).select("query_id", F.col("position").alias("rank"), "text")
+    items = read_table(spark, sf_dir, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), "item_set", "expected_regex")
+    return hit_rates(found, items).select("item_set", "questions", _six("hit_1"), _six("hit_3"), _six("mrr"))
+
+
+#: Widths of hashed vectors that are compared; models are compared the same way where their library is installed.
+COMPARED = {"hash-1024": HashingEmbedder(1024), "hash-256": HashingEmbedder(256)}
+
+
+def eval_embedders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit rates of the vector leg alone, by embedder and set of questions."""
+    docs, asked = as_chunks(read_table(spark, sf_dir, "documents")), questions(read_table(spark, sf_dir, "eval_items"))
+    items = read_table(spark, sf_dir, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), "item_set", "expected_regex")
+    return compare_embedders(docs, asked, items, COMPARED, TOP).select("embedder", "item_set", "questions", _six("hit_1"), _six("hit_3"), _six("mrr"))
+
+
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_features(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "idx", _six("val"))
 
@@ -211,7 +242,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_counts, doc_length, df_idf, content_unit_stats, bm25_topk, bm25_where, synonym_bm25, synonym_expand, relevance_topk, coverage_topk, vector_topk, vector_topk_where,
-        similarity_lookup, rrf_fuse, fused_results, fused_only_relevant, fused_per_source, hybrid_search, hash_embed, eval_hits, threshold_sweep, threshold_fit, where_and_or_ne_nin,
+        similarity_lookup, rrf_fuse, fused_results, fused_only_relevant, fused_per_source, hybrid_search, eval_hybrid, eval_embedders, hash_embed, index_build, eval_hits, threshold_sweep, threshold_fit, where_and_or_ne_nin,
     )
 }
 
@@ -308,7 +339,43 @@ def _nearest(condition: str) -> str:
     SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(a.vec_id AS VARCHAR) AS chunk_id, {_COSINE} AS s FROM embeddings a, embeddings q WHERE q.vec_id % 100 = 0 AND {condition})) WHERE r <= 10"""
 
 
+# CRC-32 of text as bytes; features of hashed vectors, per text (k, t), with their norms. Texts without any are the first axis.
+_CRC = """tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+
+
+def _hashed(name: str, source: str) -> str:
+    grams = lambda n: f"list_transform(range(1, length(w) + 4 - {n}), lambda i: 'g:' || substring('<' || w || '>', i, {n}))"
+    digit = lambda at: f"(instr('0123456789ABCDEF', substring(h, {at}, 1)) - 1)"
+    return f"""{name}_w AS (SELECT k, w, count(*) AS n FROM (SELECT k, unnest({_words('t')}) AS w FROM ({source})) GROUP BY ALL),
+{name}_f AS (SELECT k, f, sum(n * CASE WHEN regexp_matches(w, '^[가-힣]') THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END) AS w FROM (
+  SELECT k, n, w, unnest(CASE WHEN regexp_matches(w, '^[가-힣]') THEN flatten([['w:' || w], {grams(2)}, {grams(3)}]) ELSE ['w:' || w] END) AS f FROM {name}_w) GROUP BY ALL),
+{name}_h AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM (
+  SELECT f, list_transform(range(length(h) // 2), lambda i: ({digit('2 * i + 1')} * 16 + {digit('2 * i + 2')})::BIGINT) AS b FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM {name}_f)), tab),
+{name}_e AS (SELECT k, (h % 1024)::INT AS idx, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END * (1 + ln(w))) AS v FROM {name}_f JOIN {name}_h USING (f) GROUP BY ALL),
+{name}_n AS (SELECT k, sqrt(sum(v * v)) AS norm FROM {name}_e GROUP BY ALL),
+{name} AS (SELECT k, idx, v / norm AS val FROM {name}_e JOIN {name}_n USING (k) WHERE abs(v) > 1e-9
+  UNION ALL SELECT k, 0, 1.0::DOUBLE FROM ({source}) s LEFT JOIN {name}_n USING (k) WHERE coalesce(norm, 0) < 1e-9)"""
+
+
+_HYBRID = f"""WITH {_base()}, {_RANKED.format(k=20)}, {_RELEVANCE}, {_CRC},
+{_hashed('dv', "SELECT CAST(doc_id AS VARCHAR) AS k, concat_ws(chr(10), nullif(title, ''), text) AS t FROM documents")},
+{_hashed('qv', "SELECT CAST(item_id AS VARCHAR) AS k, question AS t FROM eval_items")},
+sims AS (SELECT q.k AS query_id, d.k AS chunk_id, coalesce(round(any_value(s), 5), 0) AS s FROM (SELECT DISTINCT k FROM qv) q CROSS JOIN (SELECT DISTINCT k FROM dv) d
+  LEFT JOIN (SELECT qv.k AS a, dv.k AS b, sum(qv.val * dv.val) AS s FROM qv JOIN dv USING (idx) GROUP BY ALL) x ON x.a = q.k AND x.b = d.k GROUP BY ALL),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM sims) WHERE rank <= 20),
+fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, min(r1) AS r1, min(r2) AS r2 FROM (
+  SELECT query_id, chunk_id, rank, rank AS r1, NULL AS r2 FROM near UNION ALL SELECT query_id, chunk_id, rank, NULL, rank FROM best) GROUP BY ALL),
+{_relevance_of('rel', 'fused')},
+placed AS (SELECT f.*, relevance, relevance >= 0.4 AS relevant, row_number() OVER (PARTITION BY f.query_id ORDER BY fused DESC, r1 ASC NULLS LAST, r2 ASC NULLS LAST, f.chunk_id) AS position FROM fused f JOIN rel USING (query_id, chunk_id))"""
+
 SQL: dict[str, str] = {
+    "hash_embed": f"WITH {_CRC}, {_hashed('dv', 'SELECT doc_id AS k, text AS t FROM documents')} SELECT k AS doc_id, idx, round(v / norm, 6) AS val FROM dv_e JOIN dv_n USING (k) WHERE abs(v) > 1e-9",
+    "hybrid_search": f"{_HYBRID} SELECT query_id, position, chunk_id, round(fused, 6) AS fused, relevance, relevant FROM placed WHERE position <= 5",
+    "eval_hybrid": f"""{_HYBRID}, items AS (SELECT CAST(item_id AS VARCHAR) AS query_id, item_set, expected_regex FROM eval_items WHERE expected_regex IS NOT NULL),
+hits AS (SELECT query_id, min(position) AS first FROM placed JOIN items USING (query_id) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = chunk_id WHERE position <= 10 AND regexp_matches(d.text, expected_regex) GROUP BY ALL)
+SELECT item_set, count(*) AS questions, round(avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN first <= 3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_3,
+  round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM items LEFT JOIN hits USING (query_id) GROUP BY ALL""",
+    "index_build": f"WITH {_base()} SELECT chunk_id, token, tf, length FROM postings JOIN lengths USING (chunk_id)",
     "tokenize_counts": f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY ALL",
     "doc_length": f"WITH {_base()} SELECT chunk_id, length, round(avgdl, 6) AS avgdl FROM lengths, corpus",
     "df_idf": f"WITH {_base()} SELECT token, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, corpus",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,31 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(sources: DataFrame, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from stored files, made once a session and kept as long as these files stay as they are.
+
+    Its name holds a fingerprint of the folders that ``sources`` reads, so changed files mean another table.
+    ``forget_written`` leaves it; it is deleted when the driver ends.
+    """
+    spark = sources.sparkSession
+    path = f"{shared_folder(spark)}/seogo-kept-{spark.sparkContext.applicationId}-{label}-{_fingerprint(sources)}"
+    fs, p = _file_system(spark, path)
+    if not fs.exists(_file_system(spark, f"{path}/_SUCCESS")[1]):
+        make().write.mode("overwrite").parquet(path)
+        fs.deleteOnExit(p)
+    return spark.read.parquet(path)
+
+
+def _fingerprint(df: DataFrame) -> str:
+    """A hash over the paths, sizes and times of the files under the folders that a frame reads; one listing a folder."""
+    spark = df.sparkSession
+    seen = []
+    for parent in sorted({f.rpartition("/")[0] for f in df.inputFiles()}):
+        fs, p = _file_system(spark, parent)
+        seen += [(str(s.getPath()), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)]
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def forget_written(spark: SparkSession) -> int:
     """Delete the tables this application has written with ``written``; returns how many. Frames made from
     them cannot be read any more, so call it between jobs. A shared folder keeps them otherwise."""
