@@ -163,8 +163,8 @@ class KnowledgeBase:
 
     def get_chunks(self, source_id: str | None = None, limit: int | None = None) -> DataFrame:
         """Chunks in their order, as text for overviews."""
-        rows = self.store.get(self.kb_id, {"source_id": source_id} if source_id else None).orderBy("source_id", "chunk_index")
-        return rows.limit(limit) if limit else rows
+        rows = self.store.get(self.kb_id, {"source_id": source_id} if source_id else None)
+        return in_order(rows, limit)
 
     def delete_source(self, source_id: str) -> int:
         return self.store.delete(self.kb_id, {"source_id": source_id})
@@ -173,8 +173,22 @@ class KnowledgeBase:
         self.store.drop(self.kb_id)
 
     def stats(self) -> dict[str, Any]:
-        row = self.store.get(self.kb_id).agg(F.count("*").alias("chunk_count"), F.countDistinct("source_id").alias("source_count")).first()
-        return {"kb_id": self.kb_id, **row.asDict(), "embedder": self.embedder.name}
+        row = totals(self._chunks()).first()
+        counts = {"chunk_count": row.chunk_count, "source_count": row.source_count} if row else {"chunk_count": 0, "source_count": 0}
+        return {"kb_id": self.kb_id, **counts, "embedder": self.embedder.name}
+
+
+def totals(chunks: DataFrame) -> DataFrame:
+    """(kb_id, chunk_count, source_count)"""
+    # counted per source first, so that a knowledge base with most of the sources is no hot group
+    per = chunks.groupBy("kb_id", "source_id").agg(F.count("*").alias("n"))
+    return per.groupBy("kb_id").agg(F.sum("n").alias("chunk_count"), F.count("source_id").alias("source_count"))
+
+
+def in_order(chunks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chunks by source and number, the first ``limit`` of them."""
+    rows = chunks.orderBy("source_id", "chunk_index", "chunk_id")
+    return rows.limit(limit) if limit else rows
 
 
 def list_sources(chunks: DataFrame) -> DataFrame:

@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..kb import in_order, totals
 from ..kb import list_sources as sources_of
-from ..operators.chunking import chunk_blocks, chunk_parts, with_metadata
-from ..operators.filters import compile_where
+from ..operators.chunking import OVERLAP, SIZE, chunk_blocks, chunk_parts, tails, with_metadata
 from ..runtime import read_table, spread
-from ..sources.files import paragraphs, text_parts
+from ..sources.files import paragraphs, parse_files, text_parts
+from ..store import BROADCAST_KEYS, ChunkStore
 
 
 def current_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks as stored: of rows that came again the one ingested last."""
+    """Chunks as stored: of rows that came again the one ingested last. Only ids are shuffled, and the few rows that came again."""
     rows = read_table(spark, sf_dir, "chunks")
+    again = rows.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id")
+    again = F.broadcast(again) if again.count() <= BROADCAST_KEYS else again
     others = [c for c in rows.columns if c not in ("chunk_id", "ingested_at", "extra")]
-    kept = rows.groupBy("chunk_id").agg(F.max_by(F.struct("ingested_at", *others, "extra"), F.struct(F.coalesce("ingested_at", F.lit("")), F.xxhash64(*others))).alias("r"))
-    return kept.select("chunk_id", "r.*")
+    kept = rows.join(again, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max_by(F.struct("ingested_at", *others, "extra"), F.struct(F.coalesce("ingested_at", F.lit("")), F.xxhash64(*others))).alias("r"))
+    return rows.join(again, "chunk_id", "left_anti").unionByName(kept.select("chunk_id", "r.*"))
 
 
 def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "chunks").select("kb_id", "source_id", "chunk_id", "source_name", "source_type").distinct()
-    return rows.groupBy("kb_id", "source_id").agg(F.countDistinct("chunk_id").alias("chunk_count"), F.min("source_name").alias("source_name"), F.min("source_type").alias("source_type"))
+    return sources_of(current_chunks(spark, sf_dir)).select("kb_id", "source_id", "chunk_count", "source_name", "source_type")
 
 
 def source_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +33,12 @@ def source_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "chunks").groupBy("kb_id").agg(F.countDistinct("chunk_id").alias("chunk_count"), F.countDistinct("source_id").alias("source_count"))
-    return rows.join(read_table(spark, sf_dir, "kb_meta").select("kb_id", "embedder"), "kb_id", "left")
+    return totals(current_chunks(spark, sf_dir)).join(read_table(spark, sf_dir, "kb_meta").select("kb_id", "embedder"), "kb_id", "left")
 
 
 def get_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first chunks of every source in their order (limit 3 a source)."""
-    rows = read_table(spark, sf_dir, "chunks").select("source_id", "chunk_index", "chunk_id").distinct()
-    nth = F.row_number().over(W.partitionBy("source_id").orderBy("chunk_index", "chunk_id"))
-    return rows.withColumn("nth", nth.cast("bigint")).filter("nth <= 3")
+    """The first 100 chunks over all sources in their order (the limit is the feature)."""
+    return in_order(current_chunks(spark, sf_dir), 100).select("source_id", "chunk_index", "chunk_id")
 
 
 def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,23 +54,40 @@ def chunk_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_id", "part_ordinal", "kinds", F.coalesce("page", F.lit(0)).cast("bigint").alias("page"), F.coalesce(F.when(F.col("last") != F.col("page"), F.col("last")), F.lit(0)).cast("bigint").alias("page_end"), "page_count")
 
 
+def _stored_documents(spark: SparkSession, sf_dir: str, kb_id: str) -> tuple[ChunkStore, DataFrame]:
+    """A store of this session in which documents are the chunks of their source."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("source", F.lit("-")).alias("source_id"), "source_type", "title", "text")
+    store = ChunkStore(spark, None, "none")
+    store.drop(kb_id)
+    store.replace_sources(kb_id, docs, docs)
+    return store, docs
+
+
 def replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Re-ingest: rows of documents from one source type replace the stored ones of the same source."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "source_type", "title")
-    incoming = docs.filter(F.col("source_type") == "pdf").withColumn("title", F.concat_ws(" ", F.lit("v2"), "title"))
-    kept = docs.join(incoming.select("source").distinct(), docs["source"].eqNullSafe(incoming["source"]), "left_anti")
-    return kept.unionByName(incoming).select("doc_id", "title")
+    """Re-ingest through the store: rows of one type replace what is stored of the same sources."""
+    store, docs = _stored_documents(spark, sf_dir, "replace")
+    incoming = docs.filter("source_type = 'pdf'").withColumn("title", F.concat_ws(" ", F.lit("v2"), "title"))
+    store.replace_sources("replace", incoming, incoming)
+    return store.get("replace").select(F.col("chunk_id").cast("bigint").alias("doc_id"), "title")
 
 
 def delete_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return docs.filter(~F.coalesce(compile_where(docs, {"source_type": {"$in": ["web", "note"]}}), F.lit(False))).select("doc_id")
+    """What a deletion by metadata leaves in the store."""
+    store, _ = _stored_documents(spark, sf_dir, "delete")
+    store.delete("delete", {"source_type": {"$in": ["web", "note"]}})
+    return store.get("delete").select(F.col("chunk_id").cast("bigint").alias("doc_id"))
 
 
 def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest row of every chunk id: what an upsert of all rows in order of time leaves."""
-    rows = read_table(spark, sf_dir, "chunks")
-    return rows.groupBy("chunk_id").agg(F.max("ingested_at").alias("ingested_at"))
+    """Two upserts into the store, earlier and later rows: of each id the later one stays."""
+    rows = read_table(spark, sf_dir, "chunks").select(*(c for c in read_table(spark, sf_dir, "chunks").columns if c != "kb_id"))
+    first = rows.groupBy("chunk_id").agg(F.min(F.coalesce("ingested_at", F.lit(""))).alias("first"))
+    dated = rows.join(first, "chunk_id")
+    store = ChunkStore(spark, None, "none")
+    store.drop("upsert")
+    store.upsert("upsert", dated.filter("coalesce(ingested_at, '') = first").drop("first"))
+    store.upsert("upsert", dated.filter("coalesce(ingested_at, '') <> first").drop("first"))
+    return store.get("upsert").select("chunk_id", "ingested_at")
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,16 +124,7 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last sentences of up to 150 characters of every document, as the next chunk would repeat them."""
-    s = T.sentences(F.col("text"))
-    # backwards: a sentence is taken while what is taken so far (one more each) and it fit
-    zero = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("taken"))
-
-    def step(a, x):  # noqa: ANN001, ANN202
-        fits = ~a["full"] & (a["used"] + F.length(x) <= 150)
-        return F.struct(F.when(fits, a["used"] + F.length(x) + 1).otherwise(a["used"]).alias("used"), (~fits).alias("full"), F.when(fits, F.concat(F.array(x), a["taken"])).otherwise(a["taken"]).alias("taken"))
-
-    tail = F.aggregate(F.reverse(s), zero, step, lambda a: F.array_join(a["taken"], " "))
-    return read_table(spark, sf_dir, "documents").select("doc_id", tail.alias("tail"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", tails(F.col("text")).alias("tail"))
 
 
 def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,11 +135,14 @@ def markdown_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts in batches of 40 rows under a repeated header; keys are dense, so batches need no global order."""
-    rows = read_table(spark, sf_dir, "part").select(F.floor((F.col("p_partkey") - 1) / 40).alias("batch"), "p_partkey", "p_name")
-    grouped = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("r"))
-    grid = F.concat(F.array(F.array(F.lit("p_partkey"), F.lit("p_name"))), F.transform("r", lambda x: F.array(x["p_partkey"].cast("string"), x["p_name"])))
-    return grouped.select("batch", T.markdown_table(grid).alias("markdown"))
+    """Delimited files of 4,000 parts each, written as bytes and parsed: blocks of 40 rows under a repeated header."""
+    line = F.concat(F.col("p_partkey"), F.lit(',"'), F.replace("p_name", F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = read_table(spark, sf_dir, "part").select(F.floor((F.col("p_partkey") - 1) / 4000).alias("file"), F.struct("p_partkey", line.alias("line")).alias("x"))
+    text = F.concat(F.lit("p_partkey,p_name\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n"))
+    files = rows.groupBy("file").agg(text.alias("t")).select(F.format_string("part-%s.csv", "file").alias("path"), F.octet_length("t").cast("bigint").alias("length"), F.encode("t", "UTF-8").alias("content"))
+    blocks = parse_files(files).select(F.explode("blocks.text").alias("markdown"))
+    first = F.regexp_extract("markdown", r"\n\| (\d+) \|", 1).cast("bigint")
+    return blocks.select(F.floor((first - 1) / 40).alias("batch"), "markdown")
 
 
 def link_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,11 +150,21 @@ def link_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inherited_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts below another part with the subject and sender they inherit."""
-    parts = read_table(spark, sf_dir, "parts").select("source_id", "part_ordinal", "parent_ordinal", F.col("metadata")["subject"].alias("subject"), F.col("metadata")["sender"].alias("sender")).distinct()
-    above = parts.select("source_id", F.col("part_ordinal").alias("parent_ordinal"), F.col("subject").alias("s"), F.col("sender").alias("w"))
-    rows = parts.filter("parent_ordinal is not null").join(above, ["source_id", "parent_ordinal"], "left")
-    return rows.select("source_id", "part_ordinal", F.coalesce("subject", "s").alias("subject"), F.coalesce("sender", "w").alias("sender")).distinct()
+    """Parts below another part with the subject and sender that their chunks get."""
+    parts = read_table(spark, sf_dir, "parts").dropDuplicates(["source_id", "part_ordinal"])
+    none = F.lit(None)
+    pieces = parts.filter("parent_ordinal is not null").select("source_id", "part_ordinal", F.lit(0).alias("piece_no"), F.col("part_ordinal").cast("string").alias("text"), F.lit(1).alias("char_count"), F.lit("").alias("kinds"), none.cast("string").alias("section"), none.cast("int").alias("page"), none.cast("int").alias("page_end"), none.cast("string").alias("sheet"))
+    return with_metadata(pieces, parts).select("source_id", F.col("text").cast("int").alias("part_ordinal"), "subject", "sender")
+
+
+def chunk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document with a text: chunks beyond the size and the overlap that may stand before a block, numbers that
+    are missing, sentences found in no chunk."""
+    parts = text_parts(spread(read_table(spark, sf_dir, "documents")), source_id="doc_id", text="text", source_name="title", source_type="source_type")
+    chunks = with_metadata(chunk_parts(parts), parts).groupBy(F.col("source_id").cast("bigint").alias("doc_id")).agg(F.count_if(F.col("char_count") > SIZE + OVERLAP + 2).alias("oversized"), (F.max("chunk_index") + 1 - F.count("*")).cast("bigint").alias("gaps"), F.array_agg("text").alias("chunks"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.flatten(F.transform(paragraphs(F.col("text")), T.sentences)).alias("s"))
+    lost = F.size(F.filter("s", lambda s: (F.length(s) <= SIZE) & ~F.exists("chunks", lambda c: F.contains(c, s)))).cast("bigint")
+    return docs.join(chunks, "doc_id").select("doc_id", "oversized", "gaps", lost.alias("lost"))
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_sources, source_overview, kb_stats, get_chunks, ingest_totals, chunk_kinds, replace_source, delete_source, upsert_chunks, clean_text, contextual_text, citation, garbled_pages,
-        heading_levels, text_to_blocks, sentence_split, overlap_tail, markdown_table, csv_batches, link_type, inherited_metadata, chunk_documents, chunk_mail_and_files,
+        heading_levels, text_to_blocks, sentence_split, overlap_tail, markdown_table, csv_batches, link_type, inherited_metadata, chunk_check, chunk_documents, chunk_mail_and_files,
     )
 }
 
@@ -191,10 +210,16 @@ def _newlines(t: str) -> str:
 _SENTENCES = f"""list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '([.!?。…]){_WS}+', '\\1' || chr(1), 'g'), '다\\.', '다.' || chr(1), 'g'), '\\x{{1}}+|\\n+'), lambda s: {_strip('s')}), lambda s: s <> '')"""
 _P = "nullif({}, '')"
 
+_SOURCES = """WITH now AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY coalesce(ingested_at, '') DESC) AS r FROM chunks) WHERE r = 1),
+firsts AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY kb_id, source_id) AS chunk_count, row_number() OVER (PARTITION BY kb_id, source_id ORDER BY chunk_index, source_name NULLS FIRST, source_type NULLS FIRST) AS nth FROM now) WHERE nth = 1)
+"""
+
 SQL: dict[str, str] = {
-    "list_sources": "SELECT kb_id, source_id, count(DISTINCT chunk_id) AS chunk_count, min(source_name) AS source_name, min(source_type) AS source_type FROM chunks GROUP BY ALL",
+    "source_overview": _SOURCES + "SELECT kb_id, source_id, source_name, source_type, chunk_count, url, title, author, sender, sender_name, sent_at, subject, ingested_at, space, file_type FROM firsts",
+    "list_sources": _SOURCES + "SELECT kb_id, source_id, chunk_count, source_name, source_type FROM firsts",
     "kb_stats": "SELECT c.*, embedder FROM (SELECT kb_id, count(DISTINCT chunk_id) AS chunk_count, count(DISTINCT source_id) AS source_count FROM chunks GROUP BY ALL) c LEFT JOIN kb_meta USING (kb_id)",
-    "get_chunks": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY chunk_index, chunk_id) AS nth FROM (SELECT DISTINCT source_id, chunk_index, chunk_id FROM chunks)) WHERE nth <= 3",
+    "get_chunks": "SELECT DISTINCT source_id, chunk_index, chunk_id FROM chunks ORDER BY source_id, chunk_index, chunk_id LIMIT 100",
+    "chunk_check": "SELECT doc_id, 0::BIGINT AS oversized, 0::BIGINT AS gaps, 0::BIGINT AS lost FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')",
     "ingest_totals": "SELECT source_id, count(*) AS chunk_count, CAST(sum(length(text)) AS BIGINT) AS char_count FROM (SELECT DISTINCT source_id, chunk_id, text FROM chunks) GROUP BY ALL",
     "chunk_kinds": """SELECT source_id, part_ordinal, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, CAST(coalesce(min(page), 0) AS BIGINT) AS page,
   CAST(coalesce(CASE WHEN max(page) <> min(page) THEN max(page) END, 0) AS BIGINT) AS page_end, count(DISTINCT page) AS page_count FROM blocks GROUP BY ALL""",
@@ -227,6 +252,6 @@ SELECT s.doc_id, coalesce(array_to_string(s.l[k.i:], ' '), '') AS tail FROM s LE
     "link_type": """WITH u AS (SELECT DISTINCT url, lower(regexp_extract(url, '^\\w+://([^/:?#]+)', 1)) AS host FROM chunks WHERE url IS NOT NULL)
 SELECT url, CASE WHEN contains(host, 'atlassian.net') OR contains(host, 'confluence') OR regexp_matches(url, '/wiki/spaces/|/display/|viewpage\\.action') THEN 'confluence' WHEN contains(host, 'nanumi') THEN 'nanumi' ELSE 'web' END AS link_type,
   regexp_matches(lower(url), '^https?://') AND host <> '' AND (host IN ('saebom.example', 'gaon.example') OR host LIKE '%.saebom.example' OR host LIKE '%.gaon.example') AS allowed FROM u""",
-    "inherited_metadata": """WITH p AS (SELECT DISTINCT source_id, part_ordinal, parent_ordinal, metadata['subject'] AS subject, metadata['sender'] AS sender FROM parts)
+    "inherited_metadata": """WITH p AS (SELECT DISTINCT source_id, part_ordinal, parent_ordinal, nullif(metadata['subject'], '') AS subject, nullif(metadata['sender'], '') AS sender FROM parts)
 SELECT DISTINCT c.source_id, c.part_ordinal, coalesce(c.subject, a.subject) AS subject, coalesce(c.sender, a.sender) AS sender FROM p c LEFT JOIN p a ON a.source_id = c.source_id AND a.part_ordinal = c.parent_ordinal WHERE c.parent_ordinal IS NOT NULL""",
 }
