@@ -13,16 +13,18 @@ TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 
 class BoostedTrees:
     def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        n, f = x.shape
+        f = x.shape[1]
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(f)]
-        binned = self._bin(x)
+        # rows that fall into the same bins with the same target are one row with a weight
+        rows, times = np.unique(np.column_stack([self._bin(x), y.astype(np.int16)]), axis=0, return_counts=True)
+        binned, target = rows[:, :-1], rows[:, -1].astype(float)
         rate = np.clip(y.mean(), 1e-4, 1 - 1e-4)
         self.base = float(np.log(rate / (1 - rate)))
-        score = np.full(n, self.base)
+        score = np.full(len(rows), self.base)
         feature, cut, value = [], [], []
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(binned, p - y, p * (1 - p))
+            tree = self._grow(binned, times * (p - target), times * p * (1 - p), times)
             feature.append(tree[0])
             cut.append(tree[1])
             value.append(tree[2])
@@ -34,34 +36,30 @@ class BoostedTrees:
     def _bin(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)]).astype(np.int16)
 
-    def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray):  # noqa: ANN202
-        """One tree as a full binary heap: feature (-1: none), bin cut, value of the leaves."""
-        inner = 2**DEPTH - 1
-        feature, cut, value = np.full(inner, -1), np.zeros(inner, np.int64), np.zeros(2**DEPTH)
-        node = np.zeros(len(b), np.int64)
-        f = b.shape[1]
+    def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray, times: np.ndarray):  # noqa: ANN202
+        """One tree as a full binary heap: feature (-1: none), bin cut, value of the leaves. The sums of all nodes of a
+        level, by feature and bin, come from one count."""
+        inner, (n, f) = 2**DEPTH - 1, b.shape
+        feature, cut = np.full(inner, -1), np.zeros(inner, np.int64)
+        node, width = np.zeros(n, np.int64), BINS + 1
+        slot = np.arange(f)[None] * width + b
         for level in range(DEPTH):
-            for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                rows = np.flatnonzero(node == k)
-                best = (1e-6, -1, 0)
-                if len(rows) >= 8:
-                    gs, hs = g[rows], h[rows]
-                    total_g, total_h = gs.sum(), hs.sum()
-                    parent = total_g**2 / (total_h + 1)
-                    for j in range(f):
-                        c = b[rows, j]
-                        lg, lh = np.cumsum(np.bincount(c, gs, BINS + 1)), np.cumsum(np.bincount(c, hs, BINS + 1))
-                        gain = lg**2 / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1) - parent
-                        gain[(lh < 0.5) | (total_h - lh < 0.5)] = 0
-                        at = int(np.argmax(gain))
-                        if gain[at] > best[0]:
-                            best = (gain[at], j, at)
-                feature[k], cut[k] = best[1], best[2]
-                node[rows] = 2 * k + 1 + (b[rows, best[1]] > best[2] if best[1] >= 0 else 0)
+            nodes = 2**level
+            at = ((node - (nodes - 1))[:, None] * (f * width) + slot).ravel()
+            sums = [np.cumsum(np.bincount(at, np.repeat(x, f), nodes * f * width).reshape(nodes, f, width), 2) for x in (g, h)]
+            (lg, lh), (tg, th) = sums, (x[:, :, -1:] for x in sums)
+            gain = lg**2 / (lh + 1) + (tg - lg) ** 2 / (th - lh + 1) - tg**2 / (th + 1)
+            gain[(lh < 0.5) | (th - lh < 0.5)] = 0
+            gain[np.bincount(node - (nodes - 1), times, nodes) < 8] = 0
+            best = gain.reshape(nodes, -1).argmax(1)
+            good = gain.reshape(nodes, -1)[np.arange(nodes), best] > 1e-6
+            here = slice(nodes - 1, 2 * nodes - 1)
+            feature[here], cut[here] = np.where(good, best // width, -1), np.where(good, best % width, 0)
+            mine = feature[node]
+            node = 2 * node + 1 + ((b[np.arange(n), mine] > cut[node]) & (mine >= 0))
         leaf = node - inner
         lg, lh = np.bincount(leaf, g, 2**DEPTH), np.bincount(leaf, h, 2**DEPTH)
-        value = -RATE * lg / (lh + 1)
-        return feature, cut, value
+        return feature, cut, -RATE * lg / (lh + 1)
 
     @staticmethod
     def _walk(b: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -83,13 +81,17 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-(a * self.raw(x) + c)))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling by Newton steps on held-out rows."""
-        s, (a, c) = self.raw(x), (1.0, 0.0)
-        t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30)))
-            w, d = p * (1 - p) + 1e-6, p - t
-            h = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-3]])
-            step = np.linalg.solve(h, [(d * s).sum(), d.sum()])
-            a, c = a - step[0], c - step[1]
-        self.scale = (float(a), float(c))
+        self.scale = platt(self.raw(x), y)
+
+
+def platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Platt scaling of raw scores by Newton steps, to be fitted on held-out rows."""
+    a, c = 1.0, 0.0
+    t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(a * s + c, -30, 30)))
+        w, d = p * (1 - p) + 1e-6, p - t
+        h = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-3]])
+        step = np.linalg.solve(h, [(d * s).sum(), d.sum()])
+        a, c = a - step[0], c - step[1]
+    return float(a), float(c)

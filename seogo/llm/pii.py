@@ -4,7 +4,8 @@ High-recall generators propose overlapping spans with a type: digit formats, mai
 disguise, street and lot addresses, words that may be names. Each candidate gets features of its
 format and context; gradient-boosted trees score them, Platt scaling on held-out texts calibrates
 the scores, and a threshold per type selects what is redacted. Overlaps go to the likelier span.
-The model is fitted on a bounded set of labelled texts made from templates (see ``pii_samples``).
+The model is fitted on a bounded set of labelled texts made from templates (see ``pii_samples``). Calibration and
+thresholds come from scores of texts whose templates the scoring trees have not seen.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowmap import map_batches
-from .boosting import BoostedTrees
+from .boosting import BoostedTrees, platt
 from .pii_samples import FAMILY, FAMILY_TWO, TITLES, labelled
 
 TYPES = ("person", "email", "phone", "id_number", "address")
-#: Labelled texts the model is fitted on and calibrated with; bounds the driver's work.
-FIT_TEXTS, HELD_TEXTS = 6000, 3000
+#: Labelled texts the model is fitted on, and folds of templates that are held out in turn; bounds the driver's work.
+FIT_TEXTS, FOLDS = 7000, 4
 
 # One character for one: positions in the plain text are positions in the original.
 _PLAIN = str.maketrans({**{chr(0xFF10 + d): str(d) for d in range(10)}, **dict.fromkeys("－–—‑‐−", "-"), "．": ".", "（": "(", "）": ")", "＋": "+", "＠": "@", "　": " ", "\xa0": " ", "：": ":"})
@@ -49,11 +50,13 @@ _MAY_EMAIL = re.compile(r"@|골뱅이|[(\[{ ]at[)\]} ]", re.I)
 # A Korean address is found by the number after its road or village, then read back to its first word.
 _KOREAN_NUMBER = re.compile(r"(?:(?<=[로길동리])|(?<=\d가))(?:\s?\d{1,3}(?:번)?길)?\s\d{1,4}(?:-\d{1,4})?(?:번지)?(?:,? \d{1,3}동 \d{1,4}호| \d{1,2}층| \([가-힣]{2,5}\))?")
 _KOREAN_HEAD = re.compile(r"(?<![가-힣])(?:(?:[가-힣]{1,6}(?:시|도)\s)?(?:[가-힣]{1,6}(?:시|군|구)\s)?(?:[가-힣]{1,6}(?:읍|면)\s)?)[가-힣]{1,8}(?:\d가)?$")
+#: No match of the pattern above is longer.
+LONGEST_HEAD = 3 * (6 + 1 + 1) + 8 + 2
 _ENGLISH_PLACE = re.compile(r"(?<![\w.\-])\d{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Lane|Ln|Road|Rd|Avenue|Ave|Drive|Dr|Way|Court|Close|Hill|Square|Place|Terrace|Row|Boulevard|Blvd)\b\.?(?:, [A-Z][a-z]+(?: [A-Z][a-z]+)?)?")
 _GERMAN_PLACE = re.compile(r"(?<!\w)(?:[A-ZÄÖÜ][a-zäöüß]+ (?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Ring|Damm)|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|gasse|platz|allee|ufer|ring|damm)|Am [A-ZÄÖÜ][a-zäöüß]+) \d{1,4}[a-z]?(?:, \d{5} [A-ZÄÖÜ][a-zäöüß]+)?(?!\w)")
 _TITLE = "|".join(TITLES)
 _NAME = re.compile(rf"(?<![가-힣])(?:{'|'.join(FAMILY_TWO)}|[{FAMILY}])[가-힣]{{1,3}}")
-# Cheap test before features: something around the word speaks for a name.
+# What stands around a word that may be a name; a candidate needs something on its right that can end a name.
 _LEFT_CUE = re.compile(
     r"(?:(?P<label>(?:성명|이름|담당자|신청인|신청자|민원인|입금자명|입금자|예금주|인계자|인수자|입회|작성|작성자|검토|검토자|승인자|참석|참석자|대표|강사|보호자|수령인|받는 분은|받는 사람|보낸 사람|연락 담당|witnessed|Signed|Contact|Attn)\s?:?\s?)|(?P<team>[가-힣]{1,8}(?:팀|실|부|과|파트|센터|본부)(?:\s|\s?\())|(?P<cell>\|\s)|(?P<item>(?:^|\n)\s*-\s)|(?P<start>(?:^|\n)\s*)|(?P<list>[,/→·]\s)|(?P<topic>(?:중에는|대상은|건으로|[은는])\s)|(?P<open>\()|(?P<stop>[.?!。]\s))$"
 )
@@ -63,7 +66,6 @@ _RIGHT_CUE = re.compile(
 _LEFT_KINDS = {k: v + 1 for v, k in enumerate(("label", "team", "cell", "item", "start", "list", "topic", "open", "stop"))}
 _RIGHT_KINDS = {k: v + 1 for v, k in enumerate(("honor", "title", "contact", "colon", "copula", "cell", "to", "home", "subject", "done", "mark", "end", "particle"))}
 _STRONG = {"honor", "title", "contact", "to", "home", "subject", "done", "copula", "colon", "cell", "end", "mark"}
-_SPEAKING = {"honor", "title", "contact", "to", "home", "subject", "done"}
 _CAPITAL = re.compile("[A-ZÄÖÜ][a-zäöüß]")
 _LATIN = re.compile(r"(?<![A-Za-zÀ-ÿ])(?=([A-Z][a-zà-ÿ]{1,15} (?:[A-Z]\. )?[A-Z][a-zà-ÿ]{1,18}(?![A-Za-zÀ-ÿ])))")  # overlapping
 _LATIN_LEFT = re.compile(r"(?:(?P<label>Contact: |Signed: |witnessed: |attention |Attn:? |Visitor |applicant, |According to |Mr\.? |Ms\.? |Mrs\.? |Dr\.? |Herr |Frau |Ansprechpartner: |신청인 |성명:? |담당자: |작성 |검토 |인계자 |인수자 )|(?P<verb>(?:ask|with|cc|from|by|fragen Sie|of|to|call|tell) )|(?P<join>\band |/ |, |→ |· )|(?P<start>(?:^|\n)\s*)|(?P<cell>\| )|(?P<stop>[.?!:;] ))$")
@@ -100,9 +102,9 @@ def _numbers(plain: str):  # noqa: ANN202
 def _korean_places(plain: str):  # noqa: ANN202
     done = 0
     for m in _KOREAN_NUMBER.finditer(plain):
-        at = max(done, m.start() - 30)
-        if head := _KOREAN_HEAD.search(plain[at : m.start()]):
-            yield at + head.start(), m.end()
+        # the search sees the character before its start, so that no word is taken from its middle
+        if head := _KOREAN_HEAD.search(plain, max(done, m.start() - LONGEST_HEAD), m.start()):
+            yield head.start(), m.end()
             done = m.end()
 
 
@@ -159,8 +161,6 @@ def candidates(text: str) -> list[tuple[int, int, int, tuple]]:
             continue
         lc = _LEFT_CUE.search(plain[max(0, s - 16) : s])
         lk = _LEFT_KINDS[lc.lastgroup] if lc else 0
-        if not (lk in (1, 2) or best[1].lastgroup in _SPEAKING or (lk and best[1].lastgroup in _STRONG)):
-            continue
         n, rc = best
         after = plain[s + n : s + n + 40]
         near = bool(re.match(r".{0,30}?(?:01\d[ .-]?\d{3}|\+\d|@|\(at\)|\(0\d)", after, re.S))
@@ -192,13 +192,17 @@ def _syllables(given: str) -> float:
 class Redactor:
     """Fitted trees with calibrated thresholds."""
 
-    def __init__(self, fit: int = FIT_TEXTS, held: int = HELD_TEXTS, seed: int = 7) -> None:
-        x, y, _ = self._rows(labelled(fit, seed))
+    def __init__(self, fit: int = FIT_TEXTS, folds: int = FOLDS, seed: int = 7) -> None:
+        parts = [self._rows(labelled(fit // folds, seed + k, k, folds)) for k in range(folds)]
+        x, y, kinds = (np.concatenate(c) for c in zip(*parts, strict=True))
+        fold = np.repeat(np.arange(folds), [len(p[1]) for p in parts])
+        raw = np.zeros(len(y))
+        for k in range(folds):
+            raw[fold == k] = BoostedTrees(x[fold != k], y[fold != k]).raw(x[fold == k])
         self.model = BoostedTrees(x, y)
-        hx, hy, kinds = self._rows(labelled(held, seed + 1))
-        self.model.calibrate(hx, hy)
-        p = self.model.probability(hx)
-        self.thresholds = np.array([self._threshold(p[kinds == k], hy[kinds == k]) for k in range(len(TYPES))])
+        self.model.scale = a, c = platt(raw, y)
+        p = 1 / (1 + np.exp(-np.clip(a * raw + c, -30, 30)))
+        self.thresholds = np.array([self._threshold(p[kinds == k], y[kinds == k]) for k in range(len(TYPES))])
 
     @staticmethod
     def _rows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,13 +217,12 @@ class Redactor:
 
     @staticmethod
     def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-        """The calibrated probability with the best F1 on held-out candidates."""
+        """The highest calibrated probability whose F1 on unseen templates is all but the best."""
         if not len(p) or not y.any():
             return 0.5
         grid = np.linspace(0.1, 0.9, 33)
-        f1 = [2 * (y * (p >= t)).sum() / ((p >= t).sum() + y.sum()) for t in grid]
-        best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-        return float(grid[best[len(best) // 2]])
+        f1 = np.array([2 * (y * (p >= t)).sum() / ((p >= t).sum() + y.sum()) for t in grid])
+        return float(grid[np.flatnonzero(f1 >= f1.max() - 0.001)[-1]])
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Non-overlapping (start, end, type) per text, in order."""

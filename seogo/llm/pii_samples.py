@@ -32,7 +32,7 @@ HOSTS = "maru.test gaon.example mail.daon.example example.org neoul.test solbit.
 WORDS = (
     "기준 예산 문제 설명회 안내 명단 신청 조사 이용 정보 서식 권한 조건 주소 전화 변경 공용 고장 임시 주말 장비 문서 방문 오전 오후 표시 표준 구매 연구 계정 계약 대상 현장 원격 신규 안내문 이력 장애 서명 주문 최종 최저가 정리 정산 조정 강사료 배포 "
     "송장 유지 전원 고객 양식 손실 배송 백업 허가 심사 노후 성능 차세대 구성 민원 지하 진단 원칙 방법 공사 현재 변환기 추가 도장 소식 설정 마이크 길이 연장 위험 표본 명세서 기록 반납 금액 옥상 인쇄 제출 여부 은행 편성 용량 예외 경로 봉투 사내 가격 복구 목록 형식 감사 "
-    "빈도 동쪽 홍보실 감사실 연구지원실 인사팀 총무팀 정보보안팀 구매계약팀 기록관리파트 전산실 서버실 교육장 회의실 신청자 담당자 관리자 이용자 참석자 인수자 조합원 위원회 추진단 사업부 주무부서 이사회 정기 분기 연간 공동 사전 사후 나머지 마무리 우선 전날 점심 반드시"
+    "빈도 동쪽 홍보실 감사실 연구지원실 인사팀 총무팀 정보보안팀 구매계약팀 기록관리파트 전산실 서버실 교육장 회의실 신청자 담당자 관리자 이용자 참석자 인수자 조합원 위원회 추진단 사업부 주무부서 이사회 정기 분기 연간 공동 사전 사후 나머지 마무리 우선 전날 점심 반드시 감지기 판독기 기준 수집기 안내서 문의처 전달 주기 유형 구분 이름 성격 정도 방향 국내 노선 조명 현황 민간 장소 한도 안전 전체"
 ).split()
 
 TEMPLATES = """
@@ -138,6 +138,11 @@ H.P. {phone}
 - {word}
 - {word} ({word})
 {word}
+파일 이름 {word}은 {code}를 따르되 {team}과 협의합니다.
+- 파일 이름 {word}은 {contract}에 맞춥니다.
+대여용 온습도 {word} 이력을 {item}에 적습니다.
+| {code} | 대여용 온습도 {word} | {word} |
+담당: {team} / 검토: {team}
 {word} 관리 {word}
 참석 {word} · 검토 {word}
 작성 {word}, {word}
@@ -281,14 +286,16 @@ _PERSONAL = {
 }
 
 
-def labelled(count: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """``count`` texts with (start, end, type) of their personal spans; the same for the same seed."""
+def labelled(count: int, seed: int = 7, fold: int | None = None, folds: int = 1) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """``count`` texts with (start, end, type) of their personal spans; the same for the same seed. With ``fold`` only
+    every ``folds``-th template, from that one on, is used."""
     r, out = Random(seed), []
+    templates = TEMPLATES if fold is None else TEMPLATES[fold::folds]
     for _ in range(count):
         text, spans = "", []
         for k in range(r.randrange(1, 4)):
             text += ("" if not k else _pick(r, [" ", "\n", "\n\n"]))
-            for part in re.split(r"(\{\w+\})", _pick(r, TEMPLATES)):
+            for part in re.split(r"(\{\w+\})", _pick(r, templates)):
                 key = part[1:-1]
                 if part.startswith("{") and key == "enid":
                     text += _pick(r, ["passport ", "Passport No. ", "SSN ", "social security number "])

@@ -55,3 +55,39 @@ def test_tables(spark, rows):
     out = {r.record_id: r.text for r in redacted(c, p).collect()}
     assert out["c:1"] == "문의 ☎ [PHONE]" and out["7"].startswith("[PERSON]님") and out["c:3"] == ""
     assert found_personal(c.limit(0), p.limit(0)).count() == 0
+
+
+def test_long_addresses_begin_at_their_first_word(redactor):
+    place = "가나다라마바시 가나다라마바군 가나다라마바읍 가나다라마바사로 12"
+    text = f"택배는 {place} 로, 받는 분은 김하늘 입니다."
+    (spans,) = redactor.find([text])
+    assert ("address", place) in {(k, text[s:e]) for s, e, k in spans}
+    assert redact(text, spans).startswith("택배는 [ADDRESS] 로")
+
+
+# Written by hand, not made from the templates of the fit.
+UNSEEN = [
+    ("어제 김도연 씨에게서 온 편지를 보관함에 넣었습니다.", [("person", "김도연")]),
+    ("Rückfragen bitte an petra.k@solbit.invalid richten.", [("email", "petra.k@solbit.invalid")]),
+    ("공구를 빌린 사람은 박서준 대리(010-3321-8876)로 확인됩니다.", [("person", "박서준"), ("phone", "010-3321-8876")]),
+    ("보험 서류에 적힌 주민등록번호 880412-2345678 은 지워 주세요.", [("id_number", "880412-2345678")]),
+    ("자료실이 푸른시 나래구 은하수길 45 로 옮겼습니다.", [("address", "푸른시 나래구 은하수길 45")]),
+    ("대표 전화는 02-345-6789 하나뿐입니다.", [("phone", "02-345-6789")]),
+    ("다음 분기 예산은 12,345,678원이고 문서 번호는 2024-1182 입니다.", []),
+    ("서버 10.20.30.40 의 버전을 3.11.2 로 올렸습니다.", []),
+    ("홍보실과 감사실이 정리 기준을 함께 정했습니다.", []),
+    ("The release 4.12.0 fixes 17 defects in the calendar feed.", []),
+]
+
+
+def test_sentences_not_made_from_the_templates(redactor):
+    hit = found = true = 0
+    for (text, want), got in zip(UNSEEN, redactor.find([t for t, _ in UNSEEN]), strict=True):
+        have = {(k, text[s:e]) for s, e, k in got}
+        hit, found, true = hit + len(have & set(want)), found + len(have), true + len(want)
+    assert hit >= 0.85 * true and hit >= 0.85 * found, (hit, found, true)
+
+
+def test_thresholds_come_from_unseen_templates(redactor):
+    assert len(set(redactor.thresholds.tolist())) > 1 and (redactor.thresholds > 0.1).all()
+    assert len(labelled(200, 3, 0, 4)) == 200
