@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..runtime import read_table, written
 from .arrowmap import texts_of
 from .encoding import found_garbled, garbled_records, repaired
-from .leakage import found_leaks, leaked_spans
+from .leakage import found_leaks, leaked_spans, removal_spans
 from .lookalike import canonical_texts, found_lookalikes, lookalike_members
 from .mail import authored_texts, found_unwritten
 from .neardup import found_near_duplicates, near_duplicate_groups
@@ -44,7 +44,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+    return leaked_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).distinct()
+
+
+def p9_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_spans(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +104,7 @@ def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_check(read_table(spark, sf_dir, "documents"), written(p8_containers(spark, sf_dir), "p8-containers"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_canonical": p4_canonical, "p4_members": p4_members, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_restored": p6_restored, "p8_containers": p8_containers, "p8_report": p8_report, "p8_check": p8_check, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_scores": p10_scores}
+QUERIES = {"p1_found": p1_found, "p1_authored": p1_authored, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_canonical": p4_canonical, "p4_members": p4_members, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_restored": p6_restored, "p8_containers": p8_containers, "p8_report": p8_report, "p8_check": p8_check, "p9_found": p9_found, "p9_spans": p9_spans, "p9_removal": p9_removal, "p10_found": p10_found, "p10_scores": p10_scores}
 
 # Boundaries are line feeds and spaces after sentence marks; an item is forced if one of the
 # stretches between them is longer than the limit.
@@ -151,4 +155,24 @@ SELECT m.chunk_id, m.class_id, coalesce(grp.group_id, m.class_id) AS group_id, c
 FROM m LEFT JOIN grp ON grp.u = m.class_id LEFT JOIN deg ON deg.u = m.class_id
 """
 
-SQL: dict[str, str] = {"p5_groups": _P5_GROUPS, "p8_check": _P8, "p2_found": _P2, "p5_found": _P5, "p9_found": _P9}
+# The same windows, placed in the original text: positions of its letters and digits, windows that overlap or touch merged.
+_P9_WINDOWS = """
+WITH d AS (SELECT DISTINCT doc_id, text, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS s FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS s FROM eval_items),
+dw AS (SELECT doc_id, text, s, k, substring(s, k, 50) AS w FROM (SELECT doc_id, text, s, unnest(range(1, length(s) - 48)) AS k FROM d WHERE length(s) >= 50)),
+iw AS (SELECT DISTINCT item_id, substring(s, k, 50) AS w FROM (SELECT item_id, s, unnest(range(1, length(s) - 48)) AS k FROM i WHERE length(s) >= 50)),
+m AS (SELECT doc_id, text, item_id, k FROM dw JOIN iw USING (w)),
+p AS (SELECT text, list_filter(range(1, len(c) + 1), lambda j: regexp_matches(c[j], '[\\p{L}\\p{N}]')) AS pos FROM (SELECT text, string_split(text, '') AS c FROM (SELECT DISTINCT text FROM m)))
+"""
+_P9_SPANS = _P9_WINDOWS + """,
+t AS (SELECT doc_id, text, item_id, pos[k] AS a, pos[k + 49] AS b FROM m JOIN p USING (text)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, text, item_id ORDER BY a) AS g FROM (SELECT *, CASE WHEN a > lag(b) OVER (PARTITION BY doc_id, text, item_id ORDER BY a) + 1 THEN 1 ELSE 0 END AS n FROM t))
+SELECT DISTINCT doc_id, item_id, min(a)::BIGINT AS start_pos, max(b)::BIGINT AS end_pos FROM g GROUP BY doc_id, text, item_id, g
+"""
+_P9_REMOVAL = _P9_WINDOWS + """,
+t AS (SELECT DISTINCT doc_id, pos[k] AS a, pos[k + 49] AS b FROM m JOIN p USING (text)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY a, b) AS g FROM (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS n FROM t))
+SELECT doc_id, min(a)::BIGINT AS start_pos, max(b)::BIGINT AS end_pos FROM g GROUP BY doc_id, g
+"""
+
+SQL: dict[str, str] = {"p9_spans": _P9_SPANS, "p9_removal": _P9_REMOVAL, "p5_groups": _P5_GROUPS, "p8_check": _P8, "p2_found": _P2, "p5_found": _P5, "p9_found": _P9}
