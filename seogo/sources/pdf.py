@@ -1,13 +1,16 @@
 """PDF: layout rules over lines of text, fed by an optional library.
 
 ``layout`` turns lines with boxes and sizes into headings and paragraphs and needs no library; ``parse_pdf``
-reads the lines with pdfplumber where that is installed.
+reads the lines with pdfplumber where that is installed. A page on which a second engine (pypdfium2, where installed)
+sees more characters, or whose text is garbled, is read again from that engine's glyphs.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import groupby
 from statistics import median
 from typing import Any
 
@@ -24,6 +27,77 @@ class TextLine:
     size: float = 0.0
 
 
+@dataclass
+class Glyph:
+    """A character as an engine reports it; ``top`` counts from the upper edge of the page."""
+
+    text: str
+    x0: float = 0.0
+    top: float = 0.0
+    x1: float = 0.0
+    bottom: float = 0.0
+    size: float = 0.0
+
+    @property
+    def visible(self) -> bool:
+        return self.text.isprintable() and not self.text.isspace() and self.text not in ("", "\ufffe")
+
+    def within(self, box: tuple[float, float, float, float]) -> bool:
+        x, y = (self.x0 + self.x1) / 2, (self.top + self.bottom) / 2
+        return box[0] <= x <= box[2] and box[1] <= y <= box[3]
+
+
+def lines_of_glyphs(glyphs: Iterable[Glyph], tables: list[tuple[float, float, float, float]]) -> list[TextLine]:
+    """Lines in reading order. Line feeds, and glyphs that lie in a table, part one line from the next."""
+    parts = lambda g: g.text in ("", "\r", "\n") or (not g.text.isspace() and any(g.within(box) for box in tables))
+    placed = []
+    for parting, run in groupby(glyphs, key=parts):
+        members = [] if parting else list(run)
+        ink = [g for g in members if not g.text.isspace()]
+        if ink:
+            line = TextLine("".join(g.text for g in members).strip(), min(g.top for g in ink), max(g.bottom for g in ink), median(g.size for g in ink))
+            placed.append(((round(line.top / 3), min(g.x0 for g in ink)), line))  # a third of a line's height counts as level
+    return [line for _, line in sorted(placed, key=lambda x: x[0])]
+
+
+def garbled(text: str) -> bool:
+    """The Python twin of ``functions.text.looks_garbled``."""
+    return text.count("(cid:") >= 3 or len(re.findall("[\ufffd\ue000-\uf8ff]", text)) > 0.05 * max(len(text), 1)
+
+
+class SecondEngine:
+    """Glyphs of pages by pypdfium2; no page has any where the library is missing or cannot open the file."""
+
+    def __init__(self, data: bytes) -> None:
+        try:
+            import pypdfium2
+            from pypdfium2 import raw
+
+            self.pages, self.raw = pypdfium2.PdfDocument(data), raw
+        except Exception:  # noqa: BLE001 - an optional second opinion
+            self.pages = None
+
+    def glyphs(self, number: int, height: float) -> list[Glyph]:
+        if self.pages is None:
+            return []
+        try:
+            text = self.pages[number - 1].get_textpage()
+            boxes = ((text.get_text_range(k, 1), text.get_charbox(k), self.raw.FPDFText_GetFontSize(text.raw, k)) for k in range(text.count_chars()))
+            return [Glyph(c, left, height - top, right, height - bottom, size) for c, (left, bottom, right, top), size in boxes]
+        except Exception:  # noqa: BLE001
+            return []
+
+
+def second_reading(first: list[Block], shown: int, glyphs: list[Glyph], tables: list[tuple[float, list[list[str | None]]]], boxes: list[tuple[float, float, float, float]], images: int, page: int) -> list[Block] | None:
+    """Blocks of the page from a second engine's glyphs, where these are to be preferred: the engine sees more than the
+    ``shown`` characters of the first, or the first reading's prose is garbled and the second's is not."""
+    again = page_blocks(lines_of_glyphs(glyphs, boxes), tables, images, page)
+    prose = lambda blocks: " ".join(b.text for b in blocks if b.kind not in ("table", "image"))
+    if sum(g.visible for g in glyphs) > shown:
+        return again
+    return again if garbled(prose(first)) and prose(again) and not garbled(prose(again)) else None
+
+
 def layout(lines: list[TextLine], page: int) -> list[tuple[float, Block]]:
     """(top, block): a line much larger than the body is a heading, a wide gap ends a paragraph."""
     lines = [x for x in lines if clean(x.text)]
@@ -81,7 +155,7 @@ def parse_pdf(name: str, data: bytes) -> Part:
         raise ParseError("PDF needs the optional library pdfplumber") from e
     import io
 
-    part, empty = Part(name, "pdf"), []
+    part, empty, other = Part(name, "pdf"), [], SecondEngine(data)
     try:
         with pdfplumber.open(io.BytesIO(data)) as pdf:
             info = pdf.metadata or {}
@@ -91,7 +165,12 @@ def parse_pdf(name: str, data: bytes) -> Part:
                 inside = lambda o, ts=tables: any(t.bbox[0] - 1 <= o["x0"] <= t.bbox[2] + 1 and t.bbox[1] - 1 <= o["top"] <= t.bbox[3] + 1 for t in ts)
                 text = page.filter(lambda o: o.get("object_type") != "char" or not inside(o)) if tables else page
                 lines = [TextLine(x["text"], x["top"], x["bottom"], median([c["size"] for c in x["chars"]] or [0])) for x in text.extract_text_lines(layout=False, strip=True, return_chars=True)]
-                blocks = page_blocks(lines, [(t.bbox[1], t.extract()) for t in tables], len(page.images or []), number)
+                rows, images = [(t.bbox[1], t.extract()) for t in tables], len(page.images or [])
+                blocks = page_blocks(lines, rows, images, number)
+                if glyphs := other.glyphs(number, float(page.height)):
+                    shown = sum(1 for c in page.chars if (c.get("text") or "").strip())
+                    if again := second_reading(blocks, shown, glyphs, rows, [t.bbox for t in tables], images, number):
+                        blocks, part.metadata["text_engine"] = again, "pdfplumber+pdfium"
                 if all(b.kind == "image" for b in blocks):
                     empty.append(number)
                 part.blocks += blocks

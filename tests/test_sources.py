@@ -11,7 +11,7 @@ from seogo.sources.hwp import paragraph, records
 from seogo.sources.image import set_image_reader
 from seogo.sources.markup import html_blocks, title_of
 from seogo.sources.model import ParseError, clean, decode, markdown
-from seogo.sources.pdf import TextLine, join_wrapped, page_blocks, pdf_date
+from seogo.sources.pdf import Glyph, SecondEngine, TextLine, garbled, join_wrapped, lines_of_glyphs, page_blocks, pdf_date, second_reading
 from seogo.sources.plain import text_blocks
 from seogo.sources.registry import LABELS, parse, supported_extensions
 from seogo.settings import Settings
@@ -224,3 +224,19 @@ def test_large_plain_files_are_read_to_their_end():
     body = ("x" * 999 + "\n") * 21_000  # over 20 MB
     for parse, name in ((parse_text, "a.txt"), (parse_delimited, "a.csv"), (parse_code, "a.py")):
         assert "the_end" in parse(name, (body + "the_end").encode()).blocks[-1].text
+
+
+def test_second_reading_of_pdf_pages():
+    def glyphs(text, top, x=10.0, size=10.0):
+        return [Glyph(c, x + 6 * k, top, x + 6 * k + 5, top + 10, size) for k, c in enumerate(text)] + [Glyph("\n")]
+
+    page = glyphs("아래 줄", 40) + glyphs("오른쪽", 21, 200) + glyphs("왼쪽", 20) + glyphs("표 안", 70) + glyphs("제목", 0, size=18)
+    lines = lines_of_glyphs(page, [(0, 65, 300, 90)])
+    assert [x.text for x in lines] == ["제목", "왼쪽", "오른쪽", "아래 줄"] and lines[0].size == 18
+    bad = page_blocks([TextLine("(cid:1)(cid:2)(cid:3)", 0, 10, 10)], [], 0, 1)
+    assert garbled(bad[0].text) and not garbled("멀쩡한 글")
+    again = second_reading(bad, 99, page, [(65, [["표 안", "값"], ["1", "2"]])], [(0, 65, 300, 90)], 0, 3)
+    assert [b.kind for b in again][0] == "heading" and again[-1].kind == "table" and all(b.page == 3 for b in again)
+    good = page_blocks([TextLine("멀쩡한 글", 0, 10, 10)], [], 0, 1)
+    assert second_reading(good, 99, page, [], [], 0, 1) is None and second_reading(good, 2, page, [], [], 0, 1) is not None
+    assert SecondEngine(b"no pdf").glyphs(1, 100.0) == [] and lines_of_glyphs([], []) == []
