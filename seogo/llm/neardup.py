@@ -33,6 +33,8 @@ from .pairs import FULL_CLASS, copy_links, expand_links
 THRESHOLD, RUN, LEAST_TOKENS = 0.6, 3, 40
 #: Buckets of the count table, in slices; its size does not grow with the data. It orders runs, and any order is exact.
 BUCKETS, SLICES = 1 << 22, 64
+#: Runs of a partition, of which it holds the prefixes; more data means more partitions.
+PART_RUNS = 8_000_000
 #: Pairs compared at once.
 BLOCK = 1 << 20
 #: Hash classes of runs; every union of them is a reference fingerprint.
@@ -132,13 +134,13 @@ def _restored(x: bytes, dtype: type, n: int) -> np.ndarray:
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (slice, counts) of all tasks: (slice, rank of each bucket, a byte that grows with its count)."""
+    """Of (slice, counts) of all tasks: (slice, rank of each bucket, a byte that grows with its count, runs)."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             total[k] = total.get(k, 0) + _restored(x, np.uint32, BUCKETS // SLICES).astype(np.int64)
     ranks = [np.where(x < 128, x, np.minimum(128 + 8 * np.log2(np.maximum(x, 128) / 128), 255)).astype(np.uint8).tobytes() for x in total.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], names=["slice", "ranks"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary()), pa.array([int(x.sum()) for x in total.values()], pa.int64())], names=["slice", "ranks", "runs"])
 
 
 def prefix_lengths(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -301,8 +303,11 @@ def similar_sets(chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = sets.filter("slice is not null").select("slice", "counts").repartition(min(parts, SLICES), "slice")
     table = np.zeros((SLICES, BUCKETS // SLICES), np.uint8)
-    for r in slices.mapInArrow(_summed, "slice int, ranks binary").collect():  # a byte per bucket
+    total = 0
+    for r in slices.mapInArrow(_summed, "slice int, ranks binary, runs bigint").collect():  # a byte per bucket
         table[r.slice] = np.frombuffer(r.ranks, np.uint8)
+        total += r.runs
+    parts = max(parts, -(-total // PART_RUNS))  # a task holds the prefixes of a partition
     sets = sets.filter("slice is null")
     ranks = spark.sparkContext.broadcast(table.tobytes())
     packed = texts.select("text").mapInArrow(_prefixes(ranks, threshold, parts), _PACKED).repartitionById(parts, F.col("part"))
