@@ -13,6 +13,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -59,21 +60,26 @@ class HashingEmbedder:
     def __init__(self, dim: int = DIM) -> None:
         self.dim, self.name = dim, "hash-ngram-v1"
 
-    def vector(self, text: str | None) -> np.ndarray:
+    def exact(self, text: str | None) -> np.ndarray:
+        """The vector in double precision."""
         weights: Counter = Counter()
         for word in _WORD.findall(unicodedata.normalize("NFC", text or "").lower()):
             for feature, weight in _word_features(word):
                 weights[feature] += weight
-        v = np.zeros(self.dim, np.float32)
+        v = np.zeros(self.dim)
         for feature, weight in weights.items():
             at, sign = _slot(feature, self.dim)
             v[at] += sign * (1.0 + math.log(weight))
+        v[np.abs(v) < 1e-9] = 0  # what cancels out may leave a last digit
         norm = float(np.linalg.norm(v))
         if norm:
             return v / norm
         v[0] = 1.0
         return v
 
+    def vector(self, text: str | None) -> np.ndarray:
+        return self.exact(text).astype(np.float32)
+
     def embed_documents(self, texts: list[str]) -> list[list[float]]:
         return [self.vector(t).tolist() for t in texts]
 
@@ -128,6 +134,22 @@ def embed(text: Column, embedder: Embedder | None = None) -> Column:
     return run(text)
 
 
+def sparse_vectors(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """(key, idx, val): the non-zero entries of the hashed vectors, by Arrow batches; nothing is shuffled."""
+    used = HashingEmbedder(dim)
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, idx int, val double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [used.exact(t) for t in batch.column(1).to_pylist()]
+            at = [np.flatnonzero(v) for v in vectors]
+            owner = pa.array(np.repeat(np.arange(len(at)), [len(x) for x in at]))
+            none = [np.zeros(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate([*at, *none]).astype(np.int32)), pa.array(np.concatenate([v[x] for v, x in zip(vectors, at, strict=True)] + none))], names=[key, "idx", "val"])
+
+    return df.select(key, text).mapInArrow(run, schema)
+
+
 def sparse_features(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """(key, idx, val): the non-zero entries of the hashed vectors, in built-in expressions only."""
     word = F.col("_w")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.embedding import HashingEmbedder, embed, sparse_features
+from ..functions.embedding import HashingEmbedder, embed, sparse_vectors
 from ..functions.text import content_units, tokens
 from ..operators import retrieval as R
 from ..operators.evaluation import accepted_share, compare_embedders, fitted_threshold, hit_rates
@@ -200,7 +200,7 @@ def eval_embedders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse_features(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "idx", _six("val"))
+    return sparse_vectors(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", "idx", _six("val"))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -369,7 +369,7 @@ fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS
 placed AS (SELECT f.*, relevance, relevance >= 0.4 AS relevant, row_number() OVER (PARTITION BY f.query_id ORDER BY fused DESC, r1 ASC NULLS LAST, r2 ASC NULLS LAST, f.chunk_id) AS position FROM fused f JOIN rel USING (query_id, chunk_id))"""
 
 SQL: dict[str, str] = {
-    "hash_embed": f"WITH {_CRC}, {_hashed('dv', 'SELECT doc_id AS k, text AS t FROM documents')} SELECT k AS doc_id, idx, round(v / norm, 6) AS val FROM dv_e JOIN dv_n USING (k) WHERE abs(v) > 1e-9",
+    "hash_embed": f"WITH {_CRC}, {_hashed('dv', 'SELECT doc_id AS k, text AS t FROM documents')} SELECT k AS doc_id, idx, round(val, 6) AS val FROM dv",
     "hybrid_search": f"{_HYBRID} SELECT query_id, position, chunk_id, round(fused, 6) AS fused, relevance, relevant FROM placed WHERE position <= 5",
     "eval_hybrid": f"""{_HYBRID}, items AS (SELECT CAST(item_id AS VARCHAR) AS query_id, item_set, expected_regex FROM eval_items WHERE expected_regex IS NOT NULL),
 hits AS (SELECT query_id, min(position) AS first FROM placed JOIN items USING (query_id) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = chunk_id WHERE position <= 10 AND regexp_matches(d.text, expected_regex) GROUP BY ALL)

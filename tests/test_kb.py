@@ -121,3 +121,28 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert main(["chunks", str(tmp_path / "a.md")]) == 0 and "# 제목" in capsys.readouterr().out
     (tmp_path / "b.exe").write_text("")
     assert main(["parse", str(tmp_path / "b.exe")]) == 1
+
+
+def test_a_change_writes_in_proportion_to_it(kb, tmp_path):
+    """Layers: the second ingest writes its own source only, reads see the latest rows, compaction changes nothing."""
+    from seogo import store as S
+
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "store").rglob("*.parquet"))
+    big = kb.spark.createDataFrame([(f"s{i}:0000", " ".join(f"낱말{i}{k}" for k in range(200)), f"s{i}", 0) for i in range(300)], "chunk_id string, text string, source_id string, chunk_index int")
+    kb.store.replace_sources(kb.kb_id, big, big)
+    before = size()
+    kb.store.replace_sources(kb.kb_id, big.limit(1).withColumn("text", big.text.substr(1, 3)), big.limit(1))
+    assert size() - before < before / 5 and kb.store.count(kb.kb_id) == 300
+    kb.store.upsert(kb.kb_id, big.filter("source_id = 's7'").withColumn("text", big.source_id))
+    assert kb.store.delete(kb.kb_id, {"source_id": "s9"}) == 1
+    rows = lambda: sorted((r.chunk_id, r.text) for r in kb.store.get(kb.kb_id).collect())
+    held = rows()
+    assert len(held) == 299 and ("s7:0000", "s7") in held and sum(len(t) == 3 for _, t in held) == 1
+    kb.store.replace_sources(kb.kb_id, big.filter("source_id = 's9'"), big.filter("source_id = 's9'"))
+    assert kb.store.count(kb.kb_id) == 300, "what was deleted can come again"
+    kb.store.delete(kb.kb_id, {"source_id": "s9"})
+    kb.store.compact(kb.kb_id)
+    assert rows() == held and len(kb.store.layers(kb.kb_id)) == 1
+    for k in range(S.LAYERS + 1):
+        kb.store.upsert(kb.kb_id, big.filter("source_id = 's8'"))
+    assert len(kb.store.layers(kb.kb_id)) < S.LAYERS and kb.store.count(kb.kb_id) == 299

@@ -39,3 +39,19 @@ def test_spread_leaves_large_tables_alone(spark):
     small, large = spark.range(10).coalesce(1), spark.range(100).repartition(9)
     assert runtime.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert runtime.spread(large).rdd.getNumPartitions() == 9
+
+
+def test_kept_tables_last_as_long_as_their_files(spark, tmp_path):
+    path = f"file://{tmp_path}/t.parquet"
+    spark.range(3).write.parquet(path)
+    made = []
+
+    def table():
+        df = spark.read.parquet(path)
+        return runtime.kept(df, "test", lambda: made.append(1) or df.selectExpr("id * 2 as x"))
+
+    assert sorted(r.x for r in table().collect()) == [0, 2, 4]
+    runtime.forget_written(spark)
+    assert table().count() == 3 and len(made) == 1
+    spark.range(5).write.mode("append").parquet(path)
+    assert table().count() == 8 and len(made) == 2
