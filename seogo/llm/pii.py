@@ -249,6 +249,12 @@ class Redactor:
         return out
 
 
+@lru_cache(maxsize=4)
+def fitted(fit: int = FIT_TEXTS, folds: int = FOLDS) -> Redactor:
+    """The model, fitted once a driver; the same for the same parameters."""
+    return Redactor(fit, folds)
+
+
 PLACEHOLDERS = {"person": "[PERSON]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]"}
 
 
@@ -273,7 +279,7 @@ def found_personal(chunks: DataFrame, parts: DataFrame) -> DataFrame:
 
     Null and empty texts have none; rows that come twice count once; texts are read whole.
     """
-    redactor = Redactor()
+    redactor = fitted()
 
     def make():  # noqa: ANN202
         def run(places, ids, texts):  # noqa: ANN001, ANN202
@@ -291,7 +297,7 @@ def found_personal(chunks: DataFrame, parts: DataFrame) -> DataFrame:
 
 def redacted(chunks: DataFrame, parts: DataFrame) -> DataFrame:
     """(place, record_id, text) with typed placeholders in place of personal information."""
-    redactor = Redactor()
+    redactor = fitted()
 
     def make():  # noqa: ANN202
         def run(places, ids, texts):  # noqa: ANN001, ANN202

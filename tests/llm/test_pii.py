@@ -2,13 +2,13 @@ import numpy as np
 import pytest
 
 from seogo.llm.boosting import BoostedTrees
-from seogo.llm.pii import Redactor, found_personal, redact, redacted
+from seogo.llm.pii import fitted, found_personal, redact, redacted
 from seogo.llm.pii_samples import labelled
 
 
 @pytest.fixture(scope="module")
 def redactor():
-    return Redactor()
+    return fitted()
 
 
 def test_trees_learn_an_interaction_and_calibrate():
