@@ -56,6 +56,7 @@ class ChunkStore:
         if root is None:
             root = f"{shared_folder(spark)}/seogo-session-{spark.sparkContext.applicationId}"
             fs, path = self._fs(root)
+            fs.mkdirs(path)
             fs.deleteOnExit(path)
         self.root = root.rstrip("/")
 
