@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import written
 from .arrowmap import map_batches, texts_of
-from .pairs import expand_links
+from .pairs import FULL_CLASS, expand_links
 
 # Letters of other scripts and the Latin letter of the same shape.
 SHAPES = {
@@ -169,19 +169,19 @@ def _lookalikes(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     return written(rows, "p4-rows")  # few, and read by each of the steps that follow
 
 
-def found_lookalikes(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+def found_lookalikes(blocks: DataFrame, chunks: DataFrame, full_class: int | None = FULL_CLASS) -> DataFrame:
     """(item_kind, id_a, id_b): two items of one kind with equal canonical forms and different texts.
 
     Texts are compared by 128-bit hashes. Null texts are no items; empty texts are like any other.
     Rows that come twice count once. Block ids order as numbers, chunk ids as strings. Copies
-    of one string are a class: classes of up to ``pairs.FULL_CLASS`` items are expanded into all
+    of one string are a class: classes of up to ``full_class`` items (null: all) are expanded into all
     pairs with other classes, larger ones are linked by their representative; ``lookalike_members``
     holds the class of every item.
     """
     rows = _lookalikes(blocks, chunks)
     classes = rows.select("grp", "cls").distinct()
     links = classes.select("grp", F.col("cls").alias("class_a")).join(classes.select("grp", F.col("cls").alias("class_b")), "grp").filter("class_a.form < class_b.form").select("class_a", "class_b")
-    pairs = expand_links(links, rows.select("cls", "id"))
+    pairs = expand_links(links, rows.select("cls", "id"), full_class)
     return pairs.select(F.col("id_a.item_kind").alias("item_kind"), F.col("id_a.item_id").alias("id_a"), F.col("id_b.item_id").alias("id_b"))
 
 

@@ -336,11 +336,11 @@ def _those(rows: DataFrame, ids: DataFrame, key: str = "doc") -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
-def found_near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, full_class: int = FULL_CLASS) -> DataFrame:
+def found_near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD, full_class: int | None = FULL_CLASS) -> DataFrame:
     """(chunk_id_a, chunk_id_b) of chunks with similarity of at least ``threshold``.
 
     Classes of more than ``full_class`` exact copies are linked through their smallest chunk id
-    (see ``pairs``); all smaller ones are expanded into every pair.
+    (see ``pairs``); all smaller ones are expanded into every pair, and with null all are.
     """
     links, members = similar_sets(chunks, threshold)
     links = written(links, "p5-links")
