@@ -34,7 +34,10 @@ def _index(spark: SparkSession, sf_dir: str, synonyms: Synonyms | None = None) -
     """Chunks, questions and the index, whose tables are made once a session and data folder."""
     docs = as_chunks(read_table(spark, sf_dir, "documents"))
     built = R.build_index(docs, synonyms)
-    ready = R.Index(**{name: kept(docs, f"{name}{'-synonyms' if synonyms else ''}", lambda name=name: getattr(built, name)) for name in R.Index.KEPT})
+    mark = "-synonyms" if synonyms else ""
+    ready = R.Index(**{name: kept(docs, name + mark, lambda name=name: getattr(built, name)) for name in R.Index.KEPT})
+    # frequencies are small and read by every query
+    ready.__dict__.update({name: kept(docs, name + mark, lambda name=name: getattr(R.Index(postings=ready.postings, units=ready.units), name)) for name in ("token_df", "unit_df")})
     return docs, questions(read_table(spark, sf_dir, "eval_items")), ready
 
 
